@@ -49,8 +49,37 @@ def tokenizer(path: str):
     return t
 
 
+@lru_cache(maxsize=4)
+def ranked(path: str):
+    """The vocabulary as tiktoken's ranks, or None unless it is plain byte-level BPE with merges in the order of ids."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    plain = plain and spec.get("normalizer") is None and spec.get("post_processor") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+    if not plain:
+        return None
+    import tiktoken
+
+    codes = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the byte alphabet: printable bytes are themselves
+    byte_of = {chr(c): c for c in codes} | {chr(256 + i): c for i, c in enumerate(c for c in range(256) if c not in set(codes))}
+    marked = {t["content"] for t in spec.get("added_tokens") or ()}
+    vocabulary = {name: i for name, i in model["vocab"].items() if name not in marked}
+    merged = [vocabulary.get("".join(m if isinstance(m, list) else m.split(" ")), -1) for m in model["merges"]]
+    if -1 in merged or merged != sorted(merged) or sorted(vocabulary.values()) != list(range(len(vocabulary))):
+        return None
+    ranks = {bytes(byte_of[c] for c in name): i for name, i in vocabulary.items()}
+    return tiktoken.Encoding("ranked", pat_str=PRE_TOKENS.pattern, mergeable_ranks=ranks, special_tokens={})
+
+
 def encode_batch(path: str, texts: list[str]) -> list[list[int]]:
-    return [e.ids for e in tokenizer(path).encode_batch(texts, add_special_tokens=False)]
+    """The library's ids of each text; by the same merges in tiktoken, several times faster, where the vocabulary allows."""
+    engine, marks = ranked(path), special(path)
+    if engine is None:
+        return [e.ids for e in tokenizer(path).encode_batch(texts, add_special_tokens=False)]
+    return [tokenizer(path).encode(t, add_special_tokens=False).ids if marks and marks.search(t) else engine.encode_ordinary(t) for t in texts]
 
 
 @lru_cache(maxsize=4)
@@ -174,6 +203,12 @@ def encode(path: str, text: str, leaf: int = LEAF) -> list[int]:
 
 
 def decode(path: str, ids: list[int]) -> str:
+    engine = ranked(path)
+    if engine is not None:
+        try:
+            return engine.decode_bytes(ids).decode("utf-8")
+        except (KeyError, UnicodeDecodeError):  # special tokens, or ids that no text has
+            pass
     return tokenizer(path).decode(ids, skip_special_tokens=False)
 
 
