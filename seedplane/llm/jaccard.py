@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import dropped, written
 from .components import components
+from .words import ngrams, words_of
 
 WORDS = 4
 PERCENT = 85
@@ -41,92 +42,12 @@ MOST_MATCHES = 16
 VERIFY_COST = 8.0
 RARE_PARTNERS = 0.02
 ROUNDS = 2
-CHUNK = 1 << 21
 FILTER_BITS = 1 << 26
 
-_R = np.uint64(0x9E3779B97F4A7C15 | 1)
-_R_INVERSE = np.uint64(pow(int(_R), -1, 1 << 64))
-_BYTES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_powers: dict[str, np.ndarray] = {}
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) < n:
-        size = max(n, 1 << 16)
-        for name, r in (("up", _R), ("down", _R_INVERSE)):
-            x = np.full(size, r, np.uint64)
-            x[0] = 1
-            _powers[name] = np.multiply.accumulate(x)
-    return _powers["up"], _powers["down"]
-
-
-def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(start, 64-bit hash) of each word of lower-cased bytes."""
-    codes = np.frombuffer(data, np.uint8)
-    gap = np.r_[True, _SPACE[codes], True]
-    edge = np.flatnonzero(gap[1:] != gap[:-1])
-    starts, ends = edge[::2], edge[1::2]
-    up, down = _power(len(codes) + 1)
-    sums = np.r_[np.uint64(0), np.cumsum(_BYTES[codes] * up[: len(codes)], dtype=np.uint64)]
-    return starts, _mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-
-
-def words_of(texts: list[str | None]) -> list[np.ndarray]:
-    """The hashes of each text's words, in order; memory follows CHUNK and the words, not their bytes."""
-    out: list[np.ndarray] = []
-    waiting: list[bytes] = []
-    size = 0
-
-    def flush():
-        nonlocal size
-        if waiting:
-            offsets = np.cumsum([0] + [len(w) + 1 for w in waiting])
-            starts, hashes = _word_hashes(b"\n".join(waiting))
-            cuts = np.searchsorted(starts, offsets)
-            out.extend(hashes[cuts[i] : cuts[i + 1]] for i in range(len(waiting)))
-            waiting.clear()
-            size = 0
-
-    for text in texts:
-        data = (text or "").encode("utf-8", "replace").lower()
-        if len(data) > CHUNK:
-            flush()
-            parts, at = [], 0
-            while at < len(data):
-                end = min(len(data), at + CHUNK)
-                while end < len(data) and not _SPACE[data[end]]:
-                    end += 1
-                parts.append(_word_hashes(data[at:end])[1])
-                at = end
-            out.append(np.concatenate(parts))
-            continue
-        waiting.append(data)
-        size += len(data)
-        if size > CHUNK:
-            flush()
-    flush()
-    return out
-
 
 def shingles_of(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
     """Each text's sorted distinct shingle hashes."""
-    out = []
-    for h in words_of(texts):
-        m = max(1, len(h) - words + 1)
-        mixed = np.zeros(m if len(h) else 0, np.uint64)
-        if len(h):
-            for i in range(min(words, len(h))):
-                mixed = _mix(mixed * np.uint64(31) + h[i : i + m] + np.uint64(i))
-        out.append(np.unique(mixed))
-    return out
+    return [np.unique(ngrams(h, words)) for h in words_of(texts)]
 
 
 def fingerprint(hashes: np.ndarray) -> bytes:
