@@ -1,9 +1,9 @@
 """N-gram Jaccard join with adaptive multi-match prefixes, and the groups that its links form.
 
 A document's set is its distinct word shingles (as 64-bit hashes). Documents of one set form a class and
-are compared once. All shingles have one global order: rare ones first by hash, then those that at least
-``HEAVY`` documents hold by their count over all documents (the most frequent ``HEAVY_KEPT`` are told to
-the tasks, a table of fixed size; which ones are known changes cost, never results). Two sets whose
+are compared once. All shingles have one global order: rare ones first by hash, then the
+frequent ones by their count over all documents (the most frequent ``KEPT`` are told to the tasks, a table
+of bounded size; which ones are known changes cost, never results). Two sets whose
 similarity reaches the threshold share at least l shingles of their l-prefixes, for any l; each class picks
 the l whose longer prefix has the smallest estimated cost, and a pair needs as many shared prefix shingles
 as the smaller of its two l before its whole sets are compared.
@@ -36,12 +36,13 @@ from .words import ngrams, words_of
 
 WORDS = 4
 PERCENT = 85
-HEAVY = 64
-HEAVY_KEPT = 1 << 18
+LEAST = 2
+KEPT = 1 << 20
+PART = 64
 MOST_MATCHES = 16
 VERIFY_COST = 8.0
 RARE_PARTNERS = 0.02
-ROUNDS = 2
+ROUNDS = 1
 FILTER_BITS = 1 << 26
 
 
@@ -60,8 +61,8 @@ def _texts(batch: pa.RecordBatch, column: int, words: int, size: int = 512) -> I
         yield part, shingles_of(part.column(column).to_pylist(), words)
 
 
-def frequent(rows: DataFrame, words: int, least: int = HEAVY, kept: int = HEAVY_KEPT) -> tuple[np.ndarray, np.ndarray, int]:
-    """(shingle prefix, count, bits cut off) of the ``kept`` most frequent shingles that at least ``least`` rows hold.
+def frequent(rows: DataFrame, words: int, least: int = LEAST, kept: int = KEPT) -> tuple[np.ndarray, np.ndarray, int]:
+    """(shingle prefix, count, bits cut off) of the most frequent shingles, as many counts downward as ``kept`` has room for, ``least`` at least.
 
     All rows' shingles are counted by their leading bits; they travel as sorted, packed runs.
     """
@@ -106,7 +107,15 @@ def frequent(rows: DataFrame, words: int, least: int = HEAVY, kept: int = HEAVY_
         return pa.table({"t": pa.array(x.astype(np.int64) + (table["bucket"][0].as_py() << 32), pa.int64()), "df": pa.array(c, pa.int64())})
 
     found = rows.select("text").mapInArrow(run, "bucket int, blob binary").groupBy("bucket").applyInArrow(count, "t long, df long")
-    most = found.orderBy(F.desc("df"), "t").limit(kept).toArrow()
+    found = written(found, "counts")
+    room, lowest = kept, None
+    for r in found.groupBy(F.least("df", F.lit(1 << 16)).alias("df")).count().orderBy(F.desc("df")).collect():  # a row per count
+        room -= r["count"]
+        if room < 0:
+            break
+        lowest = r["df"]
+    most = found.filter(F.col("df") >= lowest if lowest else F.lit(False)).toArrow()
+    dropped(found)
     t, df = most["t"].to_numpy(), most["df"].to_numpy()
     order = np.argsort(t)
     return t[order].astype(np.uint64), df[order], cut
@@ -131,7 +140,7 @@ def prefix(hashes: np.ndarray, percent: int, heavy: tuple[np.ndarray, np.ndarray
     cost = lengths + VERIFY_COST * partners[lengths - 1] / ls
     best = int(ls[np.argmin(cost)])
     p = n - least + best
-    return best, hashes[:p], np.maximum(1, -(-counts[:p] // HEAVY))
+    return best, hashes[:p], np.maximum(1, -(-counts[:p] // PART))
 
 
 def _signatures(rows: DataFrame, words: int, percent: int, heavy) -> DataFrame:
@@ -195,11 +204,9 @@ def groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     full = signed.filter("n > 0 and id is not null")
     members = written(full.groupBy("fp").agg(F.min("id").alias("rep")), "members")
     postings = written(_shared(full), "postings")
-    wanted = postings.select("rep").distinct().join(members, "rep")
-    sets = written(_sets(rows, wanted, words), "sets")
-    labels = None
+    sets = labels = None
     for turn in range(rounds + 1):
-        new = _linked(postings, sets, labels, percent, turn if turn < rounds else None)
+        new, sets = _linked(postings, rows, members, sets, labels, words, percent, turn if turn < rounds else None)
         edges = new.select("a", "b") if labels is None else new.select("a", "b").unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
         last, labels = labels, components(edges)
         dropped(last)
@@ -221,22 +228,27 @@ def _shared(full: DataFrame) -> DataFrame:
     return counted.filter("parts > 1 or c > 1").drop("c")
 
 
-def _linked(postings: DataFrame, sets: DataFrame, labels: DataFrame | None, percent: int, turn: int | None) -> DataFrame:
-    """Verified links (a, b) between classes that labels doesn't have in one group yet."""
+def _linked(postings: DataFrame, rows: DataFrame, members: DataFrame, sets: DataFrame | None, labels: DataFrame | None, words: int, percent: int, turn: int | None) -> tuple[DataFrame, DataFrame]:
+    """Verified links (a, b) between classes that labels doesn't have in one group yet, and the sets read so far."""
     if labels is None:
         grouped = postings.withColumn("group", F.col("rep"))
     else:
         grouped = postings.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("group", F.coalesce("label", "rep")).drop("label")
     grouped = written(grouped, "grouped")
     if turn is not None:
-        pairs = _leader_pairs(grouped, percent, turn)
+        pairs, live = _leader_pairs(grouped, percent, turn), None
     else:
         pairs, live = _all_pairs(grouped, percent)
     pairs = written(pairs, "pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    if sets is not None:
+        wanted = wanted.join(sets.select("rep"), "rep", "left_anti")
+    more = written(_sets(rows, wanted.join(members, "rep"), words), "sets")
+    sets = more if sets is None else sets.unionByName(more)
     links = written(_links(pairs, sets, percent), "links")
-    for table in (pairs, grouped) if turn is not None else (pairs, grouped, live):
+    for table in (pairs, grouped, live):
         dropped(table)
-    return links
+    return links, sets
 
 
 def _leader_pairs(grouped: DataFrame, percent: int, turn: int) -> DataFrame:
