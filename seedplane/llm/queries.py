@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_extract, jaccard, langid, lm_score, pii, topk, url_filter
+from . import bpe, decontaminate, html_extract, jaccard, langid, license_scan, lm_score, pii, topk, url_filter
 from .common import table
 
 
@@ -39,6 +39,10 @@ def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op5_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_lm": op2_lm,
     "op3_pii": op3_pii,
     "op4_html": op4_html,
+    "op5_license": op5_license,
     "op6_topk": op6_topk,
     "op7_decontaminate": op7_decontaminate,
     "op8_langid": op8_langid,
