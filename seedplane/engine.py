@@ -105,8 +105,12 @@ class Engine:
             elif (column.name,) == table.key and column.type in resolver.KINDS:
                 out[column.name] = f"cast(__row + 1 as {resolver.KINDS[column.type]})"
             else:
-                out[column.name] = self._masked(plans[column.name], column, resolver.value(table, column, cell(column.name)), self.schema.qualified(table.name))
+                out[column.name] = resolver.value(table, column, cell(column.name))
+        # masks read the plain value many times over: it is a column of its own first
         made = rows.select("__row", "__attempt", *[F.expr(sql).alias(c) for c, sql in out.items() if sql is not None])
+        masked = {c.name: self._masked(plans[c.name], c, f"`{c.name}`", self.schema.qualified(table.name)) for c in table.columns if out.get(c.name) and plans[c.name].strategy != "PRESERVE"}
+        if masked:
+            made = made.select("__row", "__attempt", *[F.expr(masked.get(c, f"`{c}`")).alias(c) for c, sql in out.items() if sql is not None])
         for column in table.columns:
             if column.generated:
                 made = made.withColumn(column.name, F.concat_ws(" ", "first_name", "last_name"))
