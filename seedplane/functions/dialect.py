@@ -37,6 +37,10 @@ class Spark:
         """Integer fold from 0; body sees a and b."""
         return f"aggregate({array}, 0, (a, b) -> {body})"
 
+    def let(self, value: str, name: str, body: str) -> str:
+        """body, which sees value under a name, so that it is worked out once."""
+        return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
     def split(self, value: str) -> str:
         return f"split({value}, '')"
 
@@ -102,6 +106,9 @@ class Duck(Spark):
     def fold(self, array: str, body: str) -> str:
         return f"list_reduce(list_concat([0], {array}), lambda a, b: {body})"
 
+    def let(self, value: str, name: str, body: str) -> str:
+        return f"list_extract(list_transform([{value}], lambda {name}: {body}), 1)"
+
     def split(self, value: str) -> str:
         return f"string_split({value}, '')"
 

@@ -78,64 +78,62 @@ class Masker:
 
     def filler(self, v: str) -> str:
         """Digits for digits, letters of the same case for letters, all else kept."""
-        h = self.digest(v)
-        n = self._nibbles(h, "{i}")
+        n = self._nibbles("h", "{i}")
         letter = lambda letters: f"substr('{letters}', cast({n} % 26 + 1 as int), 1)"
         body = f"case when {self.d.matches('c', '^[0-9]$')} then {self.s(f'{n} % 10')} when {self.d.matches('c', '^[a-z]$')} then {letter('abcdefghijklmnopqrstuvwxyz')} when {self.d.matches('c', '^[A-Z]$')} then {letter('ABCDEFGHIJKLMNOPQRSTUVWXYZ')} else c end"
-        return self.keep_null(v, self.d.chars(v, body))
+        return self.keep_null(v, self.d.let(self.digest(v), "h", self.d.chars(v, body)))
 
     def network(self, v: str) -> str:
-        h = self.digest(v)
-        return (
+        h = "h"
+        return self.d.let(self.digest(v), h, (
             f"(case when {self.d.matches(v, '^[0-9]{1,3}([.][0-9]{1,3}){3}$')} then {_cat(self.pick(W.TEST_NETS, h, 0), self.s(f'{self.number(h, 254, 1)} + 1'))} "
             f"when {self.d.matches(v, '^([0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}$')} then {_cat(text('02'), *[x for i in range(5) for x in (text(':'), f'lpad({self.s(self.number(h, 100, i))}, 2, {text("0")})')])} "
             f"when {self.d.matches(v, '^[0-9A-Fa-f:]*:[0-9A-Fa-f:]*:[0-9A-Fa-f:]*$')} then {_cat(text('2001:db8::'), f'substr({h}, 1, 4)', text(':'), f'substr({h}, 5, 4)')} end)"
-        )
+        ))
 
     def partial(self, v: str, prefix: int = 1, suffix: int = 1) -> str:
-        whole = self.filler(v)
+        whole = "w"
         middle = _cat(f"substr({v}, 1, {prefix})", f"substr({whole}, {prefix + 1}, cast(length({v}) - {prefix + suffix} as int))", f"substr({v}, cast(length({v}) - {suffix - 1} as int))" if suffix else "''")
-        return self.keep_null(v, f"coalesce({self.network(v)}, case when length({v}) <= {prefix + suffix} then {whole} else {middle} end)")
+        kept = self.d.let(self.filler(v), whole, f"case when length({v}) <= {prefix + suffix} then {whole} else {middle} end")
+        return self.keep_null(v, f"coalesce({self.network(v)}, {kept})")
 
     def email(self, v: str, preserve_domain: bool = False) -> str:
-        h = self.digest(v)
+        h = "h"
         domain = f"substr({v}, cast(strpos({v}, '@') + 1 as int))" if self.d.name == "duckdb" else f"substr({v}, instr({v}, '@') + 1)"
-        return self.keep_null(v, _cat(f"lower({self.pick(W.GIVEN, h, 0)})", "'.'", f"lower({self.pick(W.FAMILY, h, 1)})", self.s(self.number(h, 100_000, 2)), "'@'", domain if preserve_domain else self.pick(W.DOMAINS, h, 3)))
+        return self.keep_null(v, self.d.let(self.digest(v), h, _cat(f"lower({self.pick(W.GIVEN, h, 0)})", "'.'", f"lower({self.pick(W.FAMILY, h, 1)})", self.s(self.number(h, 100_000, 2)), "'@'", domain if preserve_domain else self.pick(W.DOMAINS, h, 3))))
 
     def name(self, v: str) -> str:
-        h = self.digest(v)
+        h = "h"
         given, family = self.pick(W.GIVEN, h, 0), self.pick(W.FAMILY, h, 1)
-        return self.keep_null(v, f"case when trim({v}) like '% %' then {_cat(given, text(' '), family)} else {given} end")
+        return self.keep_null(v, self.d.let(self.digest(v), h, f"case when trim({v}) like '% %' then {_cat(given, text(' '), family)} else {given} end"))
 
     def _digits(self, v: str) -> str:
         """64 keyed digits; places beyond come round again."""
-        h = self.digest(v, ":digits")
-        return self.d.chars(h, f"{self.s(f'{self._nibbles(h, "{i}")} % 10')}")
+        return self.d.let(self.digest(v, ":digits"), "h", self.d.chars("h", f"{self.s(f'{self._nibbles("h", "{i}")} % 10')}"))
 
     def _redigited(self, v: str, made: str) -> str:
         place = f"length({self.d.replaced(f'substr({v}, 1, cast({{i}} as int))', '[^0-9]', '')})"
         return self.d.chars(v, f"case when {self.d.matches('c', '^[0-9]$')} then substr({made}, cast(({place} - 1) % 64 + 1 as int), 1) else c end")
 
     def phone(self, v: str) -> str:
-        made = self._digits(v)
-        first = f"case when substr({made}, 1, 1) = '0' then {_cat(text('5'), f'substr({made}, 2)')} else {made} end"
-        return self.keep_null(v, self._redigited(v, f"({first})"))
+        first = f"case when substr(g, 1, 1) = '0' then {_cat(text('5'), 'substr(g, 2)')} else g end"
+        return self.keep_null(v, self.d.let(self.d.let(self._digits(v), "g", first), "m", self._redigited(v, "m")))
 
     def ssn(self, v: str) -> str:
-        h = self.digest(v)
+        h = "h"
         dash = f"case when {v} like '%-%' then '-' else '' end"
-        return self.keep_null(v, _cat(self.s(f"{self.number(h, 100, 0)} + 900"), dash, f"lpad({self.s(f'{self.number(h, 99, 1)} + 1')}, 2, '0')", dash, f"lpad({self.s(f'{self.number(h, 9999, 2)} + 1')}, 4, '0')"))
+        return self.keep_null(v, self.d.let(self.digest(v), h, _cat(self.s(f"{self.number(h, 100, 0)} + 900"), dash, f"lpad({self.s(f'{self.number(h, 99, 1)} + 1')}, 2, '0')", dash, f"lpad({self.s(f'{self.number(h, 9999, 2)} + 1')}, 4, '0')")))
 
     def credit_card(self, v: str) -> str:
         plain = self.d.replaced(v, "[^0-9]", "")
         n = f"length({plain})"
         body = _cat(f"substr({plain}, 1, 1)", f"substr({self._digits(v)}, 1, cast({n} - 2 as int))")
-        made = _cat(body, self.s(f"(10 - {luhn_sum(self.d, _cat(body, text('0')))}) % 10"))
-        return self.keep_null(v, f"case when {n} < 4 then {self.filler(v)} else {self._redigited(v, made)} end")
+        made = self.d.let(body, "b0", _cat("b0", self.s(f"(10 - {luhn_sum(self.d, _cat('b0', text('0')))}) % 10")))
+        return self.keep_null(v, f"case when {n} < 4 then {self.filler(v)} else {self.d.let(made, 'm', self._redigited(v, 'm'))} end")
 
     def iban(self, v: str) -> str:
         plain = self.d.replaced(v, " ", "")
-        return self.keep_null(v, iban_of(self.d, f"upper(substr({plain}, 1, 2))", f"substr({self._digits(v)}, 1, cast(length({plain}) - 4 as int))"))
+        return self.keep_null(v, self.d.let(f"substr({self._digits(v)}, 1, cast(length({plain}) - 4 as int))", "g", iban_of(self.d, f"upper(substr({plain}, 1, 2))", "g")))
 
     def date_shift(self, v: str, row_key: str, most: int = 365, stamp: bool = True) -> str:
         """All dates of one row move together, by -most..most days."""
