@@ -12,7 +12,7 @@ from seedplane.functions.generators import Cell, fit
 from seedplane.functions.masks import Masker
 from seedplane.model import Request, Role, Schema, Table
 from seedplane.operators import keys, verify
-from seedplane.plans import planner, resolver
+from seedplane.plans import checks, planner, resolver
 
 TEXT_MASKS = {"REDACT": "redact", "HASH": "hash", "TOKENIZE": "tokenize", "PARTIAL": "partial", "EMAIL": "email", "PHONE": "phone", "NAME": "name", "SSN": "ssn", "CREDIT_CARD": "credit_card", "IBAN": "iban"}
 OPTIONS = {"length": "length", "keepPrefix": "prefix", "keepSuffix": "suffix"}
@@ -147,7 +147,7 @@ def violations(spark: SparkSession, schema: Schema, plan: planner.Plan, folder:
         table, df = schema.tables[name], read[name]
         rules = {f"nulls {name}.{c.name}": F.col(c.name).isNull() for c in table.columns if not c.nullable and not c.generated}
         rules |= {f"labels {name}.{c.name}": ~F.col(c.name).isin(*c.labels) for c in table.columns if c.labels}
-        rules |= {f"check {name} {check}": ~F.expr(check.replace("::numeric", "")) for check in table.checks}
+        rules |= {f"check {name} {check}": ~F.expr(checks.as_spark(check)) for check in table.checks}
         facts = df.agg(F.count("*").alias("n"), *[F.count_if(rule).alias(f"r{i}") for i, rule in enumerate(rules.values())])
         found = facts.select(F.explode(F.map_from_arrays(F.array(F.lit(f"rows {name}"), *map(F.lit, rules)), F.array(F.abs(F.col("n") - plan.rows[name]), *[F.col(f"r{i}") for i in range(len(rules))]))).alias("rule", "n"))
         bad = {f"orphans {fk.name}": verify.orphans(df, list(fk.columns), read[fk.parent], list(fk.parent_columns)) for fk in table.fks if fk.parent in read}

@@ -57,3 +57,9 @@ def bounds(checks: list[str] | tuple[str, ...], warnings: list[str] | None = Non
             if labels:
                 out.setdefault(name, Bounds()).members = labels
     return out
+
+
+def as_spark(check: str) -> str:
+    """The check in Spark's SQL: casts by :: dropped, = ANY (ARRAY[...]) as IN (...)."""
+    plain = re.sub(r"::\w+(?:\s+varying)?(?:\[\])?", "", check)
+    return re.sub(r"=\s*ANY\s*\(+\s*ARRAY\s*\[(.*?)\]\s*\)+", r"IN (\1)", plain, flags=re.I | re.S)
