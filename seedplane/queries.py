@@ -17,7 +17,7 @@ from seedplane.functions.dialect import DUCK, SPARK, Spark, text
 from seedplane.functions.generators import Cell
 from seedplane.functions.masks import Masker
 from seedplane.model import DATA_CLASSES, SENSITIVE, MaskRule, Request
-from seedplane.operators import keys, verify
+from seedplane.operators import control, keys, verify
 from seedplane.plans import classify, planner
 from seedplane.plans.checks import bounds
 from seedplane.plans.graph import Graph, closure
@@ -410,16 +410,45 @@ both("orphan_sweep", ["customer", "orders"], lambda d: "select c_custkey from cu
 @register("upsert_masking", "select coalesce(n.k, o.k) as column_key, coalesce(n.strategy, o.strategy) as strategy from (select c_custkey as k, 'HASH' as strategy from customer where c_custkey % 3 <> 0) o full outer join (select c_custkey as k, 'EMAIL' as strategy from customer where c_custkey % 2 = 0) n on n.k = o.k")
 def upsert_masking(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("column_key"))
-    old = k.filter("column_key % 3 <> 0").withColumn("was", F.lit("HASH"))
-    new = k.filter("column_key % 2 = 0").withColumn("now", F.lit("EMAIL"))
-    return old.join(new, "column_key", "full_outer").select("column_key", F.coalesce("now", "was").alias("strategy"))
+    old, new = k.filter("column_key % 3 <> 0").withColumn("strategy", F.lit("HASH")), k.filter("column_key % 2 = 0").withColumn("strategy", F.lit("EMAIL"))
+    return control.upserted(old, new, ["column_key"])
 
 
 @register("insert_if_absent", "select s_suppkey as k from supplier union select c_custkey from customer where c_custkey < 150")
 def insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     there = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))
     wanted = table(spark, sf_dir, "customer").filter("c_custkey < 150").select(F.col("c_custkey").alias("k"))
-    return there.unionByName(wanted.join(there, "k", "left_anti"))
+    return control.inserted_if_absent(there, wanted, ["k"])
+
+
+@register("lease_terms", "select o_orderkey, cast(case when o_custkey % 5 = 0 then 240 else least(o_custkey % 3000, 1440) end as integer) as minutes, least(o_orderdate + interval 30 hours + interval 4 hours, o_orderdate + interval 28 hours) as renewed, o_orderstatus = 'O' and o_custkey % 9 < 6 as may_renew from orders")
+def lease_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").withColumn("asked", F.when(F.col("o_custkey") % 5 != 0, F.col("o_custkey") % 3000))
+    o = o.withColumn("asked", F.when(F.col("asked") > 0, F.col("asked")).otherwise(F.when(F.col("o_custkey") % 5 != 0, F.lit(0))))
+    terms, state = control.Terms(), F.when(F.col("o_orderstatus") == "O", "ACTIVE").otherwise("CLOSED")
+    minutes = F.when(F.col("asked") == 0, F.lit(0)).otherwise(terms.granted(F.col("asked"))).cast("int")
+    return o.select("o_orderkey", minutes.alias("minutes"), terms.renewed(F.col("o_orderdate"), F.col("o_orderdate") + F.expr("interval 30 hours")).alias("renewed"), control.may_renew(state, F.col("o_custkey") % 9).alias("may_renew"))
+
+
+@register("lease_close", "select o_orderkey as lease_id, case when o_orderkey % 3 = 0 and o_orderstatus = 'O' then 'EXPIRED' when o_orderstatus = 'O' then 'ACTIVE' else 'RELEASED' end as state from orders")
+def lease_close(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leases = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("lease_id"), F.when(F.col("o_orderstatus") == "O", "ACTIVE").otherwise("RELEASED").alias("state"))
+    return control.closed(leases, leases.filter("lease_id % 3 = 0"), "EXPIRED")
+
+
+@register("job_progress", "select event_id, cast(floor(least(100, (case event_type when 'click' then 30 when 'view' then 60 else 86 end + case event_type when 'click' then 30 when 'view' then 26 else 6 end * greatest(0, least(1, (event_id % 130) / 100.0::double))) * 100 / 100) + 0.5) as integer) as percent from events")
+def job_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    phase = F.when(F.col("event_type") == "click", "GENERATING").when(F.col("event_type") == "view", "SEEDING").otherwise("VERIFYING")
+    return table(spark, sf_dir, "events").select("event_id", control.overall_percent(phase, (F.col("event_id") % 130) / F.lit(100.0)).alias("percent"))
+
+
+@register("safe_names", "select page_id, case when regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') = '' then 'dataset' else substr(regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 40) end as name, case when trim(list_extract(string_split(url, '/'), -1)) = '' then 'snapshot.zip' else list_extract(string_split(url, '/'), -1) end as file_name from pages")
+def safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", control.slug(F.col("url"), "-", 40, "dataset").alias("name"), control.file_name(F.col("url")).alias("file_name"))
+
+
+_read_back = "select o_orderkey, o_custkey, o_totalprice from orders order by o_orderkey limit 100"
+both("export_read_back", ["orders"], lambda d: _read_back)
 
 
 _quoted = lambda c: f"coalesce('\"' || replace(cast({c} as varchar), '\"', '\"\"') || '\"', '')"
