@@ -52,7 +52,7 @@ PATTERNS = {
     "PHONE": r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9A-Za-z+])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9])",
     "SSN": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "IP": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?![0-9]|\.[0-9])",
-    "CARD": r"(?<![0-9A-Za-z.+-])[0-9](?:[ -]?[0-9]){11,18}(?![0-9A-Za-z])",
+    "CARD": r"(?<![0-9A-Za-z.+-])(?:[0-9]{13,19}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}|(?!(?:19|20)[0-9]{2}[ -](?:19|20)[0-9]{2})[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,4}(?:[ -][0-9]{1,3})?)(?![0-9A-Za-z])",
     "NAME": rf"(?<![\p{{L}}\p{{N}}])(?:{_title})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -122,7 +122,7 @@ def _iban(value: Column, digest: Column) -> Column:
     return F.concat(F.substring(value, 1, 2), F.lpad((98 - rest).cast("string"), 2, "0"), body)
 
 
-def _name(value: Column, gender: Column, digest: Column, wide: bool) -> Column:
+def _name(value: Column, gender: Column, digest: Column, more: int) -> Column:
     script = F.when(value.rlike(r"\p{IsCyrillic}"), "cyrillic").when(value.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
     out = F.lit(None).cast("string")
     parts = F.size(F.split(value, " "))
@@ -130,7 +130,7 @@ def _name(value: Column, gender: Column, digest: Column, wide: bool) -> Column:
         names = names.split()
         a, b = (x.split() for x in FAMILY_PARTS[s])
         pick = lambda words, at: F.element_at(F.array(*[F.lit(w) for w in words]), _number(digest, at, len(words)) + 1)
-        family = F.concat(pick(a, 1), F.when(F.lit(wide), F.lower(pick(a, 3))).otherwise(F.lit("")), pick(b, 2))
+        family = F.concat(pick(a, 1), *[F.lower(pick(a, 3 + i)) for i in range(more)], pick(b, 2))
         made = F.when(parts > 1, F.concat(pick(names, 0), F.lit(" "), family)).otherwise(family)
         out = F.when((script == s) & ((gender == g) | F.lit(g == "m" and s != "latin")) & out.isNull(), made).otherwise(out)
     return out
@@ -148,7 +148,7 @@ def surrogate(key: str, kind: Column, value: Column, gender: Column, attempt: in
     return (
         F.when(kind == "EMAIL", F.concat(_shaped(local, d, F.lit(False)), extra, F.lit("@"), domain))
         .when(kind == "IP", F.concat_ws(".", first, octet(1), octet(2), octet(3))).when(kind == "CARD", _card(value, d)).when(kind == "IBAN", _iban(value, d)).when(kind == "PHONE", phone)
-        .when(kind == "SECRET", _shaped(value, d, value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"))).when(kind == "NAME", _name(value, gender, d, wide)).otherwise(_shaped(value, d, F.lit(False)))
+        .when(kind == "SECRET", _shaped(value, d, value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"))).when(kind == "NAME", _name(value, gender, d, max(0, attempt - WIDE + 1))).otherwise(_shaped(value, d, F.lit(False)))
     )
 
 

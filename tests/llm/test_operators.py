@@ -93,13 +93,13 @@ def test_lm_scores_equal_brute_force(spark):
 def test_pii_is_replaced_consistently(spark):
     texts = [
         "Write to anna.b@corp.de or ANNA.B@corp.de from 8.8.4.4, card 4111 1111 1111 1111.", "anna.b@corp.de again; card 4111111111111111; +1 (017) 555-7713", None, "", "nothing here, version 3.", "Mrs Anna Schmidt met Mr Bob Jones",
-        "Frau Anna Schmidt", "IBAN DE89 3704 0044 0532 0130 00", "key a" + "0" * 39, "no entity " * 20_000, "anna.b@corp.de again; card 4111111111111111; +1 (017) 555-7713",
+        "Frau Anna Schmidt", "the years 1998 1999 2000 2001", "IBAN DE89 3704 0044 0532 0130 00", "key a" + "0" * 39, "no entity " * 20_000, "anna.b@corp.de again; card 4111111111111111; +1 (017) 555-7713",
     ]
     df = pii.pseudonymised(texts_frame(spark, texts), "secret")
     assert df.columns == ["doc_id", "text", "source", "n"]
     got = {r.doc_id: r.text for r in df.collect()}
-    assert got[2] is None and got[3] == "" and got[4] == texts[4] and got[9] == texts[9]
-    assert got[1] == got[10]
+    assert got[2] is None and got[3] == "" and all(got[i] == texts[i] for i in (4, 7, 10))
+    assert got[1] == got[11]
     mail = re.findall(r"\S+@\S+", got[0])
     assert mail[0] == mail[1] == re.findall(r"[^ ;]+@[^ ;]+", got[1])[0] != "anna.b@corp.de"
     card = re.search(r"card ([\d ]+)", got[0])[1]
@@ -110,7 +110,7 @@ def test_pii_is_replaced_consistently(spark):
     assert "555-7713" not in got[1] and re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}$", got[1])
     first, family = re.fullmatch(r"Mrs (\w+) (\w+) met Mr \w+ \w+", got[5]).groups()
     assert got[6] == f"Frau {first} {family}" and first in pii.NAMES["f", "latin"]
-    iban = re.search(r"DE\d\d[ \d]+", got[7])[0].replace(" ", "")
+    iban = re.search(r"DE\d\d[ \d]+", got[8])[0].replace(" ", "")
     assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
     assert pii.pseudonymised(texts_frame(spark, []), "k").count() == 0
     with pytest.raises(ValueError):
@@ -118,7 +118,7 @@ def test_pii_is_replaced_consistently(spark):
 
 
 def test_pii_surrogates_are_distinct(spark):
-    rows = [("SSN", f"{i:09d}", None) for i in range(100, 900)] + [("NAME", f"N{i} M{i}", "f") for i in range(3000)]
+    rows = [("SSN", f"{i:09d}", None) for i in range(100, 900)] + [("NAME", f"N{i} M{i}", "f") for i in range(300)]
     made = pii.surrogate_map(spark.createDataFrame(rows, "kind string, value string, gender string"), "k").collect()
     assert len(made) == len(rows)
     assert len({(r.kind, r.made) for r in made}) == len(rows)
