@@ -9,7 +9,7 @@ the l whose longer prefix has the smallest estimated cost, and a pair needs as m
 as the smaller of its two l before its whole sets are compared.
 
 Groups need not try all pairs. In each of ``ROUNDS`` rounds, every class is compared with the leader (the
-first class under that round's order) it shares most prefix shingles with; what links is merged. After
+class with the fewest rarer shingles before a shared one) it shares most prefix shingles with; what links is merged. After
 that, prefix lists whose classes are all in one group are done, and in the others all pairs of classes from
 different groups are tried, so no link between groups is missed, while a group of thousands of near copies
 costs a comparison each. Frequent shingles' lists are split by salt.
@@ -192,8 +192,14 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * shared >= percent * (F.col("n_a") + F.col("n_b") - shared)).select("a", "b")
 
 
-def _by_size(percent: int) -> Column:
-    return (100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a"))
+def _possible(percent: int) -> Column:
+    """Whether a shared shingle at these places of the two orders leaves room for the overlap that a link needs.
+
+    All common shingles before it are in both prefixes, so they are among the entries that other classes have
+    too (``shared`` counts those); with itself and what comes after it on the shorter side they bound the overlap.
+    """
+    room = F.least("shared_a", "shared_b") + F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
+    return (100 + percent) * room >= percent * (F.col("n_a") + F.col("n_b"))
 
 
 def groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
@@ -220,12 +226,13 @@ def groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _shared(full: DataFrame) -> DataFrame:
-    """The classes' prefix entries (rep, n, l, token, part, parts), without shingles that only one class has in its prefix."""
+    """The classes' prefix entries (rep, n, l, pos, token, part, parts, shared), without shingles that only one class has in its prefix."""
     classes = full.groupBy("fp").agg(F.min(F.struct("id", "n", "l", "prefix", "parts")).alias("c"))
-    listed = classes.select(F.col("c.id").alias("rep"), F.col("c.n").cast("int").alias("n"), "c.l", F.explode(F.arrays_zip("c.prefix", "c.parts")).alias("x")).select("rep", "n", "l", F.col("x.prefix").alias("token"), F.col("x.parts").alias("parts"))
+    listed = classes.select(F.col("c.id").alias("rep"), F.col("c.n").cast("int").alias("n"), "c.l", F.posexplode(F.arrays_zip("c.prefix", "c.parts")).alias("pos", "x")).select("rep", "n", "l", "pos", F.col("x.prefix").alias("token"), F.col("x.parts").alias("parts"))
     salted = listed.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     counted = salted.withColumn("c", F.count("*").over(Window.partitionBy("token", "part")))
-    return counted.filter("parts > 1 or c > 1").drop("c")
+    kept = counted.filter("parts > 1 or c > 1").drop("c")
+    return kept.withColumn("shared", F.row_number().over(Window.partitionBy("rep").orderBy("pos")) - 1)
 
 
 def _linked(postings: DataFrame, rows: DataFrame, members: DataFrame, sets: DataFrame | None, labels: DataFrame | None, words: int, percent: int, turn: int | None) -> tuple[DataFrame, DataFrame]:
@@ -254,9 +261,10 @@ def _linked(postings: DataFrame, rows: DataFrame, members: DataFrame, sets: Data
 def _leader_pairs(grouped: DataFrame, percent: int, turn: int) -> DataFrame:
     """Each class with the leader that it shares most prefix entries with."""
     rank = F.xxhash64("rep", F.lit(turn)) if turn else F.col("rep")
-    leaders = grouped.groupBy("token").agg(F.min(F.struct(rank.alias("rank"), "rep", "n", "l", "group")).alias("x"), F.max("parts").alias("parts"), F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high")
-    leaders = leaders.select("token", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("x.rep").alias("b"), F.col("x.n").alias("n_b"), F.col("x.l").alias("l_b"), F.col("x.group").alias("group_b"))
-    met = grouped.withColumnsRenamed({"rep": "a", "n": "n_a", "l": "l_a"}).join(leaders, ["token", "part"]).filter((F.col("group") != F.col("group_b")) & _by_size(percent))
+    # the fewest rarer shingles before this one: the class most like the others that share it
+    leaders = grouped.groupBy("token").agg(F.min(F.struct("pos", rank.alias("rank"), "rep", "n", "l", "shared", "group")).alias("x"), F.max("parts").alias("parts"), F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high")
+    leaders = leaders.select("token", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("x.rep").alias("b"), F.col("x.n").alias("n_b"), F.col("x.l").alias("l_b"), F.col("x.pos").alias("pos_b"), F.col("x.shared").alias("shared_b"), F.col("x.group").alias("group_b"))
+    met = grouped.withColumnsRenamed({"rep": "a", "n": "n_a", "l": "l_a", "pos": "pos_a", "shared": "shared_a"}).join(leaders, ["token", "part"]).filter((F.col("group") != F.col("group_b")) & _possible(percent))
     pairs = met.groupBy("a", "b").agg(F.count("*").alias("m"), F.min(F.least("l_a", "l_b")).alias("l")).filter("m >= l")
     return pairs.groupBy("a").agg(F.max_by("b", F.struct("m", "b")).alias("b"))
 
@@ -266,9 +274,9 @@ def _all_pairs(grouped: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     sizes = grouped.groupBy("token", "group").agg(F.count("*").alias("c"), F.max("parts").alias("parts"))
     majors = sizes.groupBy("token").agg(F.max_by("group", F.struct("c", "group")).alias("major"), F.count("*").alias("kinds"), F.max("parts").alias("parts")).filter("kinds > 1")
     majors = majors.select("token", "major", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    live = written(grouped.join(majors, ["token", "part"]).select("token", "rep", "n", "l", "group", (F.col("group") != F.col("major")).alias("minor")), "live")
-    few = live.filter("minor").select("token", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("l").alias("l_a"), F.col("group").alias("group_a"))
-    all_ = live.select("token", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("l").alias("l_b"), F.col("group").alias("group_b"), "minor")
-    on = (F.col("group_a") != F.col("group_b")) & (~F.col("minor") | (F.col("a") < F.col("b"))) & _by_size(percent)
+    live = written(grouped.join(majors, ["token", "part"]).select("token", "rep", "n", "l", "pos", "shared", "group", (F.col("group") != F.col("major")).alias("minor")), "live")
+    few = live.filter("minor").select("token", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("l").alias("l_a"), F.col("pos").alias("pos_a"), F.col("shared").alias("shared_a"), F.col("group").alias("group_a"))
+    all_ = live.select("token", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("l").alias("l_b"), F.col("pos").alias("pos_b"), F.col("shared").alias("shared_b"), F.col("group").alias("group_b"), "minor")
+    on = (F.col("group_a") != F.col("group_b")) & (~F.col("minor") | (F.col("a") < F.col("b"))) & _possible(percent)
     met = few.join(all_, "token").filter(on)
     return met.groupBy("a", "b").agg(F.count("*").alias("m"), F.min(F.least("l_a", "l_b")).alias("l")).filter("m >= l").select("a", "b"), live
