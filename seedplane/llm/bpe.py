@@ -27,6 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 LEAF = 8_192
 LONG = 262_144
 BATCH = 256
@@ -221,6 +223,7 @@ def encoded(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     Ids need not be unique: rows of long texts carry a row mark of their own.
     """
+    small_batches(documents.sparkSession)
     rows = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     short, long = rows.filter(F.length("text") <= long_chars), rows.filter(F.length("text") > long_chars)

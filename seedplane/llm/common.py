@@ -20,6 +20,13 @@ def ascii_lower(column):
     return F.translate(column, UPPER, UPPER.lower())
 
 
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Texts go to Python in batches of at most so many rows, so that a worker's memory stays small beside the heap."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir; a local one only where it names none."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Element names as HTML defines them.
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -138,6 +140,7 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
 
 def extract(pages: DataFrame, html_col: str = "html", window: int = WINDOW, surge: int = SURGE) -> DataFrame:
     """The rows with ``text`` (main text) and ``n_chars`` (its code points) added; both replace columns of those names."""
+    small_batches(pages.sparkSession)
     source = pages.drop(*[c for c in ("text", "n_chars") if c in pages.columns and c != html_col])
     keep = [c for c in source.columns if c != html_col or html_col not in ("text", "n_chars")]
     rows = source.select(*[f"`{c}`" for c in keep if c != html_col], F.col(html_col).cast("string").alias("__html"))

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import dropped, written
+from .common import dropped, small_batches, written
 from .components import components
 from .words import ngrams, words_of
 
@@ -55,7 +55,7 @@ def fingerprint(hashes: np.ndarray) -> bytes:
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
-def _texts(batch: pa.RecordBatch, column: int, words: int, size: int = 512) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+def _texts(batch: pa.RecordBatch, column: int, words: int, size: int = 256) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for start in range(0, batch.num_rows, size):
         part = batch.slice(start, size)
         yield part, shingles_of(part.column(column).to_pylist(), words)
@@ -93,7 +93,7 @@ def frequent(rows: DataFrame, words: int, least: int = LEAST, kept: int = KEPT)
             for _, sets in _texts(batch, 0, words):
                 held += sets
                 size += sum(map(len, sets))
-                if size > 4_000_000:
+                if size > 1_000_000:
                     yield flush()
                     held, size = [], 0
         if size:
@@ -204,6 +204,7 @@ def _possible(percent: int) -> Column:
 
 def groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links) of every row; see the module's text."""
+    small_batches(documents.sparkSession)
     rows = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     heavy = frequent(rows, words)
     signed = written(_signatures(rows, words, percent, heavy), "signatures")

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 DIMS = 4_096
 PER_LANGUAGE = 500
 LANGUAGES = 256
@@ -216,5 +218,6 @@ def predict(documents: DataFrame, model: Model, text_col: str = "text") -> DataF
 
 def identify(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Fit on the rows that are not held out, predict all: the rows with held_out, lang_pred and score."""
+    small_batches(documents.sparkSession)
     model = fit(documents.filter(~is_held_out(F.col(id_col))), id_col, text_col, lang_col)
     return predict(documents.withColumn("held_out", is_held_out(F.col(id_col))), model, text_col)

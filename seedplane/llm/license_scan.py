@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from . import words as W
 
 K = 3
@@ -166,6 +167,7 @@ def scan_text(index: Index, text: str | None, coverage: float = COVERAGE) -> lis
 
 def scan(documents: DataFrame, templates: list[tuple[str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text", coverage: float = COVERAGE) -> DataFrame:
     """doc_id, license, matched_words, coverage, span_start, span_end of every template found in every row."""
+    small_batches(documents.sparkSession)
     index = Index(templates or TEMPLATES)
     rows = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 
-CHUNK = 1 << 21
+CHUNK = 1 << 18
 
 _R = np.uint64(0x9E3779B97F4A7C15 | 1)
 _R_INVERSE = np.uint64(pow(int(_R), -1, 1 << 64))
@@ -26,7 +26,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers.get("up", ())) < n:
-        size = max(n, 1 << 16)
+        size = max(n, CHUNK + 1)
         for name, r in (("up", _R), ("down", _R_INVERSE)):
             x = np.full(size, r, np.uint64)
             x[0] = 1
