@@ -107,15 +107,15 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda a, x: a + x) % 10
 
 
-def _card(value: Column, digest: Column) -> Column:
-    body = F.concat(F.substring(value, 1, 1), F.substring(_shaped(value, digest, F.lit(False)), F.lit(2), F.length(value) - 2))
+def _card(value: Column, shaped: Column, digest: Column) -> Column:
+    body = F.concat(F.substring(value, 1, 1), F.substring(shaped, F.lit(2), F.length(value) - 2))
     check = (10 - _luhn(F.concat(body, F.lit("0")))) % 10
-    wrong = (check + 1 + _number(digest, 60, 9)) % 10
-    return F.concat(body, F.when(_luhn(value) == 0, check).otherwise(wrong).cast("string"))
+    moved = F.when(_luhn(value) == 0, F.lit(0)).otherwise(1 + _number(digest, 60, 9))  # a wrong digit for a wrong one
+    return F.concat(body, ((check + moved) % 10).cast("string"))
 
 
-def _iban(value: Column, digest: Column) -> Column:
-    body = F.substring(_shaped(value, digest, F.lit(False)), F.lit(5), F.length(value))
+def _iban(value: Column, shaped: Column) -> Column:
+    body = F.substring(shaped, F.lit(5), F.length(value))
     moved = F.concat(body, F.substring(value, 1, 2), F.lit("00"))
     expanded = F.flatten(F.transform(F.split(moved, ""), lambda c: F.split(F.when(c.rlike("[A-Z]"), (F.ascii(c) - 55).cast("string")).otherwise(c), "")))
     rest = F.aggregate(expanded, F.lit(0), lambda a, c: (a * 10 + F.coalesce(F.try_to_number(c, F.lit("9")).cast("int"), F.lit(0))) % 97)
@@ -124,6 +124,7 @@ def _iban(value: Column, digest: Column) -> Column:
 
 def _name(value: Column, gender: Column, digest: Column, more: int) -> Column:
     script = F.when(value.rlike(r"\p{IsCyrillic}"), "cyrillic").when(value.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
+    gender = F.when((script != "latin") & (gender != "f"), "m").otherwise(gender)  # the lists there are f and m
     out = F.lit(None).cast("string")
     parts = F.size(F.split(value, " "))
     for (g, s), names in NAMES.items():
@@ -132,23 +133,25 @@ def _name(value: Column, gender: Column, digest: Column, more: int) -> Column:
         pick = lambda words, at: F.element_at(F.array(*[F.lit(w) for w in words]), _number(digest, at, len(words)) + 1)
         family = F.concat(pick(a, 1), *[F.lower(pick(a, 3 + i)) for i in range(more)], pick(b, 2))
         made = F.when(parts > 1, F.concat(pick(names, 0), F.lit(" "), family)).otherwise(family)
-        out = F.when((script == s) & ((gender == g) | F.lit(g == "m" and s != "latin")) & out.isNull(), made).otherwise(out)
+        out = F.when((script == s) & (gender == g), made).otherwise(out)
     return out
 
 
-def surrogate(key: str, kind: Column, value: Column, gender: Column, attempt: int) -> Column:
-    d = _digest(key, kind, value, attempt)
+def shape_of(kind: Column, value: Column, d: Column) -> Column:
+    """The value (of an e-mail address the part before the @) with every character replaced by one of its kind."""
+    return _shaped(F.when(kind == "EMAIL", F.substring_index(value, "@", 1)).otherwise(value), d, (kind == "SECRET") & value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"))
+
+
+def surrogate(kind: Column, value: Column, gender: Column, d: Column, shaped: Column, attempt: int) -> Column:
+    """The wish of an entity, from its digest d and its shape (columns, as they are read many times over)."""
     wide = attempt >= WIDE
-    local = F.substring_index(value, "@", 1)
     domain = F.element_at(F.array(*[F.lit(x) for x in ("example.com", "example.net", "example.org")]), _number(d, 62, 3) + 1)
     extra = F.substring(d, 200, 8) if wide else F.lit("")
     octet = lambda at: _number(d, at, 254) + 1
     first = _number(d, 9, 222) + 1 if wide else F.lit(10)
-    phone = F.concat(F.substring(value, 1, 1), F.substring(_shaped(value, d, F.lit(False)), F.lit(2), F.length(value)))
     return (
-        F.when(kind == "EMAIL", F.concat(_shaped(local, d, F.lit(False)), extra, F.lit("@"), domain))
-        .when(kind == "IP", F.concat_ws(".", first, octet(1), octet(2), octet(3))).when(kind == "CARD", _card(value, d)).when(kind == "IBAN", _iban(value, d)).when(kind == "PHONE", phone)
-        .when(kind == "SECRET", _shaped(value, d, value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"))).when(kind == "NAME", _name(value, gender, d, max(0, attempt - WIDE + 1))).otherwise(_shaped(value, d, F.lit(False)))
+        F.when(kind == "EMAIL", F.concat(shaped, extra, F.lit("@"), domain)).when(kind == "IP", F.concat_ws(".", first, octet(1), octet(2), octet(3))).when(kind == "CARD", _card(value, shaped, d)).when(kind == "IBAN", _iban(value, shaped))
+        .when(kind == "PHONE", F.concat(F.substring(value, 1, 1), F.substring(shaped, F.lit(2), F.length(value)))).when(kind == "NAME", _name(value, gender, d, max(0, attempt - WIDE + 1))).otherwise(shaped)
     )
 
 
@@ -176,7 +179,9 @@ def surrogate_map(entities: DataFrame, key: str, tries: int = TRIES) -> DataFram
     originals = waiting.select("kind", F.col("value").alias("made"))
     taken = None
     for attempt in range(tries):
-        wish = waiting.withColumn("made", surrogate(key, F.col("kind"), F.col("value"), F.col("gender"), attempt))
+        wish = waiting.withColumn("__d", _digest(key, F.col("kind"), F.col("value"), attempt))
+        wish = wish.withColumn("__s", shape_of(F.col("kind"), F.col("value"), F.col("__d")))
+        wish = wish.select("kind", "value", "gender", surrogate(F.col("kind"), F.col("value"), F.col("gender"), F.col("__d"), F.col("__s"), attempt).alias("made"))
         barred = originals if taken is None else originals.unionByName(taken.select("kind", "made"))
         free = wish.join(barred, ["kind", "made"], "left_anti")
         firsts = free.groupBy("kind", "made").agg(F.min("value").alias("value"))
