@@ -10,7 +10,8 @@ The model that scores a document is the corpus without the document itself: its
 the totals, else every n-gram would be known. With c the remaining counts and N the remaining words,
 S(w | history) = c(history w) / c(history) if c(history w) > 0, else ``BACKOFF`` times S with a history one
 word shorter; at the end of the chain S(w) = c(w) / N if c(w) > 0, else ``BACKOFF`` / (N + 1). The first
-words of a text have the histories they have.
+words of a text have the histories they have. N-grams are told apart by the bits of a hash that name their
+partition and ``LOW_BITS`` more, so that about one count in a hundred thousand may hold another n-gram's.
 
 Edge cases: null, empty and white-space texts have no words and a score of 0 with a null mean; repeated
 rows are documents each (and predict each other); an empty table gives an empty result; extra columns are
@@ -28,13 +29,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small_batches, written
 from .words import ngrams, words_of
 
 ORDER = 3
 BACKOFF = 0.4
 BLOCK_BYTES = 4 << 20
-LOW_BITS = 40
+LOW_BITS = 36
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -94,19 +95,23 @@ def _grams(docs: list[np.ndarray], order: int) -> list[np.ndarray]:
 
 
 def score_block(docs: list[np.ndarray], known: list[tuple[np.ndarray, np.ndarray]], total: int, backoff: float) -> list[float]:
-    """Sum of ln S of each document; known: per order the sorted n-grams of the block and their corpus counts."""
+    """Sum of ln S of each document; known: per order, for all places of the block in a row, the n-gram's number and its corpus count."""
     out = []
-    for h in docs:
+    ends = [np.cumsum([0] + [max(0, len(h) - k) for h in docs]) for k in range(len(known))]
+    for at, h in enumerate(docs):
         n = len(h)
         if not n:
             out.append(0.0)
             continue
         rest = max(0, total - n)
         counts = []  # per order: the count, without the document, of the n-gram that starts at each place
-        for order, (u, c) in enumerate(known, 1):
-            g = ngrams(h, order) if n >= order else np.empty(0, np.uint64)
-            own, inverse, times = np.unique(g, return_inverse=True, return_counts=True)
-            counts.append((c[np.searchsorted(u, own)].astype(np.int64) - times)[inverse] if len(g) else np.empty(0, np.int64))
+        for (number, count), end in zip(known, ends, strict=True):
+            g, c = number[end[at] : end[at + 1]], count[end[at] : end[at + 1]]
+            order = np.argsort(g, kind="stable")
+            same = np.flatnonzero(np.r_[True, np.diff(g[order]) != 0, True]) if len(g) else np.zeros(1, np.int64)
+            own = np.empty(len(g), np.int64)
+            own[order] = np.repeat(np.diff(same), np.diff(same))
+            counts.append(c - own)
         uni = counts[0]
         s = np.log(np.where(uni > 0, uni, backoff) / np.where(uni > 0, max(rest, 1), rest + 1))
         for order in range(2, len(known) + 1):
@@ -121,6 +126,7 @@ def score_block(docs: list[np.ndarray], known: list[tuple[np.ndarray, np.ndarray
 
 def scores(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, backoff: float = BACKOFF, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, log_score (sum of ln S), mean_log_score of every row."""
+    small_batches(documents.sparkSession)
     blocks = written(_blocks(documents, id_col, text_col, block_bytes), "lm-blocks")
     n_blocks, total = blocks.agg(F.count("*"), F.coalesce(F.sum("n_words"), F.lit(0))).first()
     buckets = 64
@@ -160,8 +166,9 @@ def scores(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for k in range(1, order + 1):
                 mine = answers.filter(pa.compute.equal(answers["k"], k)).sort_by("bucket")["totals"].to_pylist()
                 grams = _grams(docs, k)
-                u = np.unique(np.concatenate(grams) if grams else np.empty(0, np.uint64))
-                known.append((u, np.concatenate([_unpack(b) for b in mine]) if mine else np.empty(0, np.uint64)))
+                _, number = np.unique(np.concatenate(grams) if grams else np.empty(0, np.uint64), return_inverse=True)
+                totals = np.concatenate([_unpack(b) for b in mine]).astype(np.int64) if mine else np.empty(0, np.int64)
+                known.append((number, totals[number]))
             ids += names
             ns += [len(h) for h in docs]
             sums += score_block(docs, known, total, backoff)
