@@ -149,10 +149,15 @@ def scan_text(index: Index, text: str | None, coverage: float = COVERAGE) -> lis
     if len(words) < index.k:
         return []
     out = []
+    taken: dict[int, int] = {}  # template -> diagonal that its region before ended on
     for t, region in index.hits(words):
         template = index.words[t]
         diagonals = [at - p for at, p in region]
-        matched, first, last = align(template, words, min(diagonals) - BAND, max(diagonals) + BAND)
+        low = min(diagonals) - BAND
+        if taken.get(t, min(diagonals)) < min(diagonals):  # the band must not reach back to the place before
+            low = max(low, taken[t] + 1)
+        taken[t] = max(diagonals)
+        matched, first, last = align(template, words, low, max(diagonals) + BAND)
         if matched >= coverage * len(template):
             end = data.find(b" ", int(starts[last]))
             end = len(data) if end < 0 else end
