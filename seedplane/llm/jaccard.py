@@ -280,4 +280,6 @@ def _all_pairs(grouped: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     all_ = live.select("token", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("l").alias("l_b"), F.col("pos").alias("pos_b"), F.col("shared").alias("shared_b"), F.col("group").alias("group_b"), "minor")
     on = (F.col("group_a") != F.col("group_b")) & (~F.col("minor") | (F.col("a") < F.col("b"))) & _possible(percent)
     met = few.join(all_, "token").filter(on)
+    # which of a pair is the minor one differs from token to token
+    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "l_a", "l_b")
     return met.groupBy("a", "b").agg(F.count("*").alias("m"), F.min(F.least("l_a", "l_b")).alias("l")).filter("m >= l").select("a", "b"), live

@@ -287,6 +287,34 @@ def test_jaccard_groups_equal_brute_force(spark, words, percent):
         assert (got[i].n_shingles, got[i].component_id) == (n[i], want[i]), (i, texts[i])
 
 
+def test_jaccard_links_between_clusters_of_revisions(spark):
+    chance = random.Random(20)
+
+    def edited(words, k):
+        words = list(words)
+        for _ in range(k):
+            words[chance.randrange(len(words))] = f"e{chance.randrange(10**9)}"
+        return words
+
+    texts, want = [], []
+    for f in range(400):  # two clusters of revisions each; whether they link is a borderline matter
+        draft = [f"f{f}w{chance.randrange(200)}" for _ in range(chance.randrange(60, 160))]
+        other = edited(draft, max(1, len(draft) // 50))
+        family = [" ".join(edited(d, chance.randrange(0, 2))) for d in (draft, other) for _ in range(chance.randrange(2, 6))]
+        want += [len(texts) + g for g in brute_groups(family)[1]]
+        texts += family
+    got = {r.doc_id: r.component_id for r in jaccard.groups(texts_frame(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_all_pairs_adds_up_a_pairs_matches_over_tokens_of_both_majors(spark):
+    # classes 2 and 4 share two tokens: group 1 has the most classes of one, group 3 of the other
+    rows = [(t, rep, group) for t, reps in ((10, (1, 2, 4)), (11, (3, 4, 2))) for rep in reps for group in [1 if rep < 3 else 3]]
+    grouped = spark.createDataFrame([(t, 0, 1, rep, 20, 2, t - 10, t - 10, g) for t, rep, g in rows], "token long, part int, parts int, rep long, n int, l int, pos int, shared int, group long")
+    pairs, _ = jaccard._all_pairs(grouped, 85)
+    assert {(2, 4)} <= {(r.a, r.b) for r in pairs.collect()}
+
+
 def test_jaccard_repeated_and_null_ids(spark):
     df = spark.createDataFrame([(5, "a b c d e"), (5, "a b c d e"), (None, "a b c d e"), (7, "A b c d e"), (9, "z")], "doc_id long, text string")
     got = sorted(((r.doc_id, r.component_id) for r in jaccard.groups(df).collect()), key=str)
