@@ -210,6 +210,25 @@ def test_decontamination_finds_substitutions(spark):
     assert decontaminate.overlaps(texts_frame(spark, docs), bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_passages_and_moved_words(spark):
+    chance = random.Random(6)
+    word = lambda: "".join(chance.choice("abcdefgh") for _ in range(5))
+    many = lambda n: [word() for _ in range(n)]
+    items = [many(n) for n in (150, 30, 15, 200)]
+    docs = [
+        many(300) + items[0][40:120] + many(300),  # 80 words of 150
+        many(50) + items[1][:15] + many(1) + items[1][15:] + many(50),  # one word put in
+        many(50) + items[1][:15] + items[1][16:] + many(50),  # one left out
+        many(250) + items[2][:7] + many(2) + items[2][7:],  # 7 and 8 words of 15, over a block's end
+        many(70) + items[3][57:71] + many(70),  # 14 words over a segment's end
+        [x if (i + 1) % 8 else word() for i, x in enumerate(items[3][20:60])],  # 40 words of 200, each eighth changed
+        many(80) + items[3][10:18] + many(80) + items[3][100:109] + many(80) + items[0][5:15],  # short quotes only
+    ]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.matched for r in decontaminate.overlaps(texts_frame(spark, [" ".join(d) for d in docs]), bench).collect()}
+    assert got == {(0, 0): 80, (1, 1): 30, (2, 1): 29, (3, 2): 15, (4, 3): 14, (5, 3): 35}
+
+
 # 8
 def test_language_id(spark):
     words = {"en": "the of and that with for this", "de": "der und mit von ist nicht auch", "fr": "le de et que pour avec dans", "es": "el de que para con una por"}
