@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from .common import UPPER, ascii_lower, dropped, written
 
 MAX_RULES = 1000
+#: Levels of the SQL twin; the operator's tree is as deep as the paths.
 LEVELS = 3
 MIN_SHARE = 0.05
 LONG_SEGMENT = 32
@@ -72,28 +73,41 @@ def rule_of(rules: list[Rule], host: Column, path: Column) -> tuple[Column, Colu
 
 
 def shape_of(path: Column) -> Column:
-    """The first segments with digit runs as ``#``, overlong ones as ``*``, and ``**`` for what lies deeper."""
+    """All segments, with digit runs as ``#`` and overlong ones as ``*``."""
     segments = F.filter(F.split(path, "/"), lambda s: s != "")
-    shaped = F.transform(segments, lambda s: F.when(F.length(s) > LONG_SEGMENT, F.lit("*")).otherwise(F.regexp_replace(s, "[0-9]+", "#")))
-    head = F.slice(shaped, 1, LEVELS)
-    return F.when(F.size(shaped) > LEVELS, F.concat(head, F.array(F.lit("**")))).otherwise(head)
+    return F.transform(segments, lambda s: F.when(F.length(s) > LONG_SEGMENT, F.lit("*")).otherwise(F.regexp_replace(s, "[0-9]+", "#")))
 
 
 def templates(shapes: DataFrame) -> DataFrame:
-    """(host, shape, n, blocks, labelled) with a template: per level, thin children become wildcards."""
-    tree = written(shapes.withColumn("template", F.lit("")), "url-shapes")
-    for level in range(1, LEVELS + 1):
+    """(host, shape, n, blocks, labelled, template): per level, thin children become wildcards.
+
+    A level is split only where several shapes are left; a shape that is alone in its branch is named to its end at once.
+    """
+    live, ended, level = written(shapes.withColumn("template", F.lit("")), "url-shapes"), [], 0
+    deepest = live.agg(F.max(F.size("shape"))).first()[0] or 0
+    while level < deepest:
+        level += 1
         segment = F.when(F.size("shape") >= level, F.element_at("shape", level)).otherwise(F.lit(""))
-        leveled = tree.withColumn("segment", segment)
+        leveled = live.withColumn("segment", segment)
         child = leveled.groupBy("host", "template", "segment").agg(F.sum("n").alias("child_n"))
         parent = child.groupBy("host", "template").agg(F.sum("child_n").alias("parent_n"))
         kept = child.join(parent, ["host", "template"]).withColumn("keeps", (F.col("child_n") >= 2) & (F.col("child_n") >= MIN_SHARE * F.col("parent_n"))).select("host", "template", "segment", "keeps")
-        last, tree = tree, leveled.join(kept, ["host", "template", "segment"]).withColumn(
+        tree = leveled.join(kept, ["host", "template", "segment"]).withColumn(
             "template", F.when(F.col("segment") == "", F.col("template")).otherwise(F.concat("template", F.lit("/"), F.when(F.col("keeps"), F.col("segment")).otherwise(F.lit("*"))))
         ).drop("segment", "keeps")
+        left = tree.filter(F.size("shape") >= level).groupBy("host", "template").agg(F.count("*").alias("kinds"))
+        rest = F.transform(F.slice("shape", level + 1, F.greatest(F.lit(0), F.size("shape") - level)), lambda s: F.concat(F.lit("/"), F.when(F.col("n") >= 2, s).otherwise(F.lit("*"))))
+        goes_on = (F.size("shape") >= level) & (F.col("kinds") > 1)
+        tree = tree.join(left, ["host", "template"], "left").withColumn("goes_on", F.coalesce(goes_on, F.lit(False)))
+        tree = tree.withColumn("template", F.when(F.col("goes_on"), F.col("template")).otherwise(F.concat("template", F.array_join(rest, "")))).drop("kinds")
         tree = written(tree, "url-tree")
-        dropped(last)
-    return tree
+        dropped(live)
+        ended.append(tree.filter("not goes_on").drop("goes_on"))
+        live = tree.filter("goes_on").drop("goes_on")
+        deepest = live.agg(F.max(F.size("shape"))).first()[0] or 0
+    for part in ended:
+        live = live.unionByName(part)
+    return live
 
 
 def rejected(tree: DataFrame) -> DataFrame:

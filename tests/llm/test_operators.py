@@ -262,6 +262,23 @@ def test_url_rules_and_edge_cases(spark):
     assert url_filter.url_filter(df.limit(0), url_filter.CONTRACT_RULES).count() == 0
 
 
+def verdicts(spark, urls, rules):
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_filter.url_filter(df, rules).collect()}
+    assert len(got) == len(urls)
+    return [got[i] for i in range(len(urls))]
+
+
+def test_url_branches_part_at_any_depth(spark):
+    rules = [url_filter.Rule("h.test", "/a/b/c/spam/x", True), url_filter.Rule("h.test", "/a/b/c/d/e/f/bad/x", True)]
+    marked = [f"http://h.test/a/b/c/spam/x/{i}" for i in range(40)] + [f"http://h.test/a/b/c/d/e/f/bad/x/{i}" for i in range(40)]
+    spam = [f"http://h.test/a/b/c/d/e/f/bad/{i}" for i in range(5)]
+    clean = [f"http://h.test/a/b/c/news/{i}" for i in range(30)] + [f"http://h.test/a/b/c/d/e/f/good/{i}" for i in range(30)] + ["http://h.test/a/b/c", "http://deep.test" + "/s" * 300]
+    got = verdicts(spark, marked + clean, rules)
+    assert got == ["block"] * len(marked) + ["allow"] * len(clean)
+    assert verdicts(spark, spam, rules) == ["allow"] * len(spam)
+
+
 # 10
 def brute_groups(texts, words=4, percent=85):
     sets = []
