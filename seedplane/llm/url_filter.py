@@ -1,7 +1,7 @@
 """URL filter: rules first, then a path-template tree per host (DataFrame functions only).
 
 Each host's paths form a tree of segments. Digit runs and overlong segments are generalised at once; a
-literal child that few of its parent's urls support becomes the wildcard ``*``. Sibling templates whose
+literal child that few urls support, in number and as a share of its parent's, becomes the wildcard ``*``. Sibling templates whose
 labelled block rates do not differ significantly from their siblings' pooled rate are merged into one
 branch. A branch is rejected when its smoothed labelled purity (share of block labels) reaches a threshold.
 
@@ -27,6 +27,8 @@ MAX_RULES = 1000
 #: Levels of the SQL twin; the operator's tree is as deep as the paths.
 LEVELS = 3
 MIN_SHARE = 0.05
+#: Urls that keep a literal its own branch on a parent of any size.
+SUPPORT = 20
 LONG_SEGMENT = 32
 STRENGTH = 4.0
 PRIOR = 0.1
@@ -91,7 +93,8 @@ def templates(shapes: DataFrame) -> DataFrame:
         leveled = live.withColumn("segment", segment)
         child = leveled.groupBy("host", "template", "segment").agg(F.sum("n").alias("child_n"))
         parent = child.groupBy("host", "template").agg(F.sum("child_n").alias("parent_n"))
-        kept = child.join(parent, ["host", "template"]).withColumn("keeps", (F.col("child_n") >= 2) & (F.col("child_n") >= MIN_SHARE * F.col("parent_n"))).select("host", "template", "segment", "keeps")
+        enough = F.least(MIN_SHARE * F.col("parent_n"), F.lit(float(SUPPORT)))
+        kept = child.join(parent, ["host", "template"]).withColumn("keeps", (F.col("child_n") >= 2) & (F.col("child_n") >= enough)).select("host", "template", "segment", "keeps")
         tree = leveled.join(kept, ["host", "template", "segment"]).withColumn(
             "template", F.when(F.col("segment") == "", F.col("template")).otherwise(F.concat("template", F.lit("/"), F.when(F.col("keeps"), F.col("segment")).otherwise(F.lit("*"))))
         ).drop("segment", "keeps")

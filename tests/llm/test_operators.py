@@ -279,6 +279,18 @@ def test_url_branches_part_at_any_depth(spark):
     assert verdicts(spark, spam, rules) == ["allow"] * len(spam)
 
 
+def test_url_sections_with_support_stay_branches(spark):
+    rules = [url_filter.Rule("h.test", "/en/", True)]
+    sections = ["en"] + [f"s{chr(97 + i)}" for i in range(24)]
+    urls = [f"http://h.test/{s}/{i}" for s in sections for i in range(40)]
+    assert verdicts(spark, urls, rules) == ["block"] * 40 + ["allow"] * 960
+    # single urls are variable segments, however many there are
+    names = ["".join(chr(97 + i // 26**k % 26) for k in range(3)) for i in range(600)]
+    names_at = [f"http://v.test/u/{n}" for n in names]
+    rules = [url_filter.Rule("v.test", f"/u/{c}", True) for c in "abcdefghijklm"]
+    assert set(verdicts(spark, names_at, rules)) == {"block"}
+
+
 # 10
 def brute_groups(texts, words=4, percent=85):
     sets = []
