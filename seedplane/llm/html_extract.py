@@ -3,9 +3,12 @@
 Markup is stripped into lines, one per block element. Each line weighs the length of its own text, or
 nothing where the text is a link or sits in a part of the page that is never the article (menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles, comments). Weights are summed over sliding
-windows of lines; a surge point is where the sum rises from nothing to at least ``surge``, a dive point
-where it falls back to nothing, and the text between them is kept. A page that marks its article
-(``article`` or ``main``) is read inside that mark.
+windows of lines; a surge point is where the sum rises to a level, a dive point where it falls below, and
+the text between them is kept. A page that marks its article (``article`` or ``main``) is read inside that
+mark, where any text is a surge. On other pages the level follows the page: a ``SHARE``-th of the sum that
+half of its text reaches, ``MOST`` at most, and it must be held by the windows before and behind a line, so
+that short lines above and below the article are left out. Headings right above kept text
+stay.
 
 The pass over a page is a single scan, so cost and memory follow the page's length; rows are worked on a
 batch at a time and never grouped.
@@ -19,6 +22,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,6 +32,7 @@ from .common import small_batches
 
 #: Element names as HTML defines them.
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template svg xmp noembed noframes".split())
 NEVER = frozenset("nav footer aside form button select dialog menu head object canvas audio video".split())
@@ -43,6 +48,8 @@ SPACE = re.compile(r"\s+")
 
 WINDOW = 3
 SURGE = 1
+#: Without a mark: the part of the page's usual window sum that is text enough, and the most that is asked for.
+SHARE, MOST = 4, 86
 
 
 def _is_part(attributes: str) -> bool:
@@ -54,8 +61,8 @@ def _is_part(attributes: str) -> bool:
     return not PARTS.isdisjoint(words)
 
 
-def lines(page: str) -> Iterator[tuple[str, int, bool, bool]]:
-    """(text, weight, may be kept, inside the article mark) of each block of a page, in order."""
+def lines(page: str) -> Iterator[tuple[str, int, bool, bool, bool]]:
+    """(text, weight, may be kept, inside the article mark, a heading) of each block of a page, in order."""
     text: list[str] = []
     linked = 0
     stack: list[tuple[str, bool, bool]] = []  # open elements: name, never the article, the article's mark
@@ -64,7 +71,7 @@ def lines(page: str) -> Iterator[tuple[str, int, bool, bool]]:
     def line():
         nonlocal linked
         raw = SPACE.sub(" ", entities.unescape("".join(text))).strip()
-        out = (raw, 0 if shut or (linked * 2 > len(raw) and not marked) else len(raw), not shut, marked > 0)
+        out = (raw, 0 if shut or (linked * 2 > len(raw) and not marked) else len(raw), not shut, marked > 0, any(name in HEADINGS for name, _, _ in stack))
         text.clear()
         linked = 0
         return out
@@ -118,11 +125,30 @@ def lines(page: str) -> Iterator[tuple[str, int, bool, bool]]:
         yield line()
 
 
+def _dense(rows: list[tuple[str, int, bool, bool, bool]], window: int) -> list[int]:
+    """The lines between surge and dive points of a page without a mark."""
+    n = len(rows)
+    sums = [0, *accumulate(x[1] for x in rows)]
+    ahead = [sums[min(n, i + window)] - sums[i] for i in range(n)]
+    behind = [sums[i + 1] - sums[max(0, i + 1 - window)] for i in range(n)]
+    usual, passed = 0, 0
+    for total, weight in sorted(zip(map(max, ahead, behind), (x[1] for x in rows), strict=True)):
+        usual, passed = total, passed + weight
+        if 2 * passed >= sums[-1]:
+            break
+    level = max(SURGE, min(MOST, usual / SHARE))
+    kept = [rows[i][2] and rows[i][1] > 0 and min(ahead[i], behind[i]) >= level for i in range(n)]
+    for i in range(n - 2, -1, -1):
+        kept[i] = kept[i] or (rows[i][4] and rows[i][1] > 0 and rows[i][2] and kept[i + 1])
+    return [i for i in range(n) if kept[i]]
+
+
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """The text of the article; see the module's text."""
     rows = [x for x in lines(page or "") if x[0]]
-    if any(mark and weight for _, weight, _, mark in rows):
-        rows = [(t, w if mark else 0, open_ and mark, mark) for t, w, open_, mark in rows]
+    if not any(mark and weight for _, weight, _, mark, _ in rows):
+        return "\n".join(rows[i][0] for i in _dense(rows, window))
+    rows = [(t, w if mark else 0, open_ and mark) for t, w, open_, mark, _ in rows]
     weights = [x[1] for x in rows]
     kept: list[str] = []
     running, since = 0, None  # since: the surge point of the span that is open

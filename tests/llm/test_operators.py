@@ -143,6 +143,15 @@ def test_html_main_text(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_without_a_mark_leaves_thin_lines_out():
+    long = ["The river rose in the night and the whole lower town was under water by the morning of the second day.", "People carried what they could up the hill, and the school was opened to all who had no place to sleep.", "Nobody was hurt.", "The bridge is closed until the engineers have looked at each of its pillars, which will take a week or so.", "Trains stop one station earlier, and buses take the long way round by the northern road until further word."]
+    body = "<h1>Flood</h1>" + "".join(f"<p>{t}</p>" for t in long[:3]) + "<h2>Traffic</h2>" + "".join(f"<div>{t}</div>" for t in long[3:])
+    page = f"<body><div>Please turn on scripts.</div><p>Today's offer: shoes!</p>{body}<div>Share this story</div><div>Print</div><p>Copyright The Paper</p><h3>More</h3><div>Imprint</div></body>"
+    assert html_extract.main_text(page) == "\n".join(["Flood", *long[:3], "Traffic", *long[3:]])
+    # a very long line doesn't make the others thin
+    assert html_extract.main_text(f"<p>{'word ' * 9000}</p>{body}").endswith(long[-1])
+
+
 # 5
 def test_license_scan(spark):
     texts = ["Intro text.\nLicensed under the Apache License, Version 2.0. More", "LICENSED under the apache licence version 2.0", "clean text about a license", None, "", "Released under the MIT License. x " * 2, "pad " * 40_000 + "Licensed under CC BY-NC 4.0."]
