@@ -10,8 +10,8 @@ The model that scores a document is the corpus without the document itself: its
 the totals, else every n-gram would be known. With c the remaining counts and N the remaining words,
 S(w | history) = c(history w) / c(history) if c(history w) > 0, else ``BACKOFF`` times S with a history one
 word shorter; at the end of the chain S(w) = c(w) / N if c(w) > 0, else ``BACKOFF`` / (N + 1). The first
-words of a text have the histories they have. N-grams are told apart by the bits of a hash that name their
-partition and ``LOW_BITS`` more, so that about one count in a hundred thousand may hold another n-gram's.
+words of a text have the histories they have. N-grams are told apart by 64-bit hashes: the
+leading bits name the partition, the others are shipped whole.
 
 Edge cases: null, empty and white-space texts have no words and a score of 0 with a null mean; repeated
 rows are documents each (and predict each other); an empty table gives an empty result; extra columns are
@@ -35,7 +35,6 @@ from .words import ngrams, words_of
 ORDER = 3
 BACKOFF = 0.4
 BLOCK_BYTES = 4 << 20
-LOW_BITS = 36
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -133,7 +132,6 @@ def scores(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     while buckets < n_blocks and buckets < 1 << 20:
         buckets *= 2
     shift = np.uint64(64 - (buckets.bit_length() - 1))
-    cut = np.uint64(max(0, int(shift) - LOW_BITS))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,7 +142,7 @@ def scores(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     u, c = np.unique(np.concatenate(grams) if grams else np.empty(0, np.uint64), return_counts=True)
                     ends = np.searchsorted(u >> shift, np.arange(buckets + 1, dtype=np.uint64))
                     rows = [i for i in range(buckets) if ends[i + 1] > ends[i]]
-                    low = (u & ((np.uint64(1) << shift) - np.uint64(1))) >> cut
+                    low = u & ((np.uint64(1) << shift) - np.uint64(1))
                     keys = [_pack(np.diff(low[ends[i] : ends[i + 1]], prepend=np.uint64(0))) for i in rows]
                     times = [_pack(c[ends[i] : ends[i + 1]]) for i in rows]
                     yield pa.RecordBatch.from_arrays([pa.array([block] * len(rows)), pa.array([k] * len(rows), pa.int32()), pa.array(rows, pa.int32()), pa.array(keys, pa.binary()), pa.array(times, pa.binary())], names=["block", "k", "bucket", "grams", "times"])

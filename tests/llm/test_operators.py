@@ -89,6 +89,13 @@ def test_lm_scores_equal_brute_force(spark):
     assert lm_score.scores(texts_frame(spark, [])).count() == 0
 
 
+def test_lm_tells_words_apart_that_share_their_leading_hash_bits(spark):
+    texts = ["w3906113 a b", "w594863 b a", "w594863 c d", "w3042786 d c", "w3573259 e a", "w195174 f b", "w4843729 g c"]  # pairs that share 42 bits
+    _, want = brute_lm(texts)
+    got = {r.doc_id: r.log_score for r in lm_score.scores(texts_frame(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == pytest.approx(want, abs=1e-6)
+
+
 # 3
 def test_pii_is_replaced_consistently(spark):
     texts = [
