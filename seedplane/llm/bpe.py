@@ -18,12 +18,14 @@ are encoded each; an empty table gives an empty result; extra columns are ignore
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -221,7 +223,8 @@ def packed(ids: list[int]) -> bytes:
 def encoded(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF, long_chars: int = LONG) -> DataFrame:
     """id and ``ids`` (little-endian unsigned 32-bit integers, as binary) of every row.
 
-    Ids need not be unique: rows of long texts carry a row mark of their own.
+    Ids need not be unique: rows of long texts carry a mark of their own, the text's digest with the partition and
+    how many equal rows came before in it, which is the same in whatever order a task that is run again sees them.
     """
     small_batches(documents.sparkSession)
     rows = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -238,9 +241,14 @@ def encoded(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(blobs, pa.binary())], names=["id", "ids"])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        partition = task.partitionId() if task else 0
+        seen: Counter = Counter()
         for batch in batches:
-            for row, (i, text) in enumerate(zip(batch.column(0), batch.column(1).to_pylist(), strict=True)):
-                mark = hashlib.md5(text.encode()).hexdigest() + f"-{row}"
+            for i, text in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                digest = hashlib.md5(text.encode()).hexdigest()
+                mark = f"{digest}-{partition}-{seen[i.as_py(), digest]}"
+                seen[i.as_py(), digest] += 1
                 parts = list(leaves(path, text, leaf))
                 for start in range(0, len(parts), 64):
                     some = parts[start : start + 64]

@@ -54,6 +54,21 @@ def test_bpe_long_unsplit_and_dealt_texts(spark):
     assert bpe.with_digests(bpe.encoded(texts_frame(spark, []), path), path).count() == 0
 
 
+def test_bpe_repeated_long_rows_of_other_partitions_and_batches(spark):
+    path = vocabulary()
+    one = texts_frame(spark, ["the cat and the hat " * 500]).coalesce(1)
+    want = hashlib.sha256(b"".join(struct.pack("<I", x) for x in bpe.tokenizer(path).encode("the cat and the hat " * 500, add_special_tokens=False).ids)).hexdigest()
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, 1)
+    try:
+        for df in (one.union(one), one.union(one).union(one).coalesce(1)):
+            got = [r.ids_sha256 for r in bpe.with_digests(bpe.encoded(df, path, leaf=1000, long_chars=5_000), path).collect()]
+            assert got == [want] * df.count()
+    finally:
+        spark.conf.set(name, before)
+
+
 # 2
 def brute_lm(texts, order=3, backoff=0.4):
     words = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for t in texts]
