@@ -8,7 +8,8 @@ sides is encoded anew and grown until its first token equals the left side's tok
 the right side's; adjacent pairs are then all ones that the encoder itself gives, which makes the joined
 sequence the encoder's own result.
 
-Short texts are encoded where they lie. Long ones (over ``long_chars``) are dealt out leaf by leaf to all
+Leaves are encoded with tiktoken where the vocabulary file is one that it reads exactly (see ranked()), else
+with the tokenizers library. Short texts are encoded where they lie. Long ones (over ``long_chars``) are dealt out leaf by leaf to all
 tasks, and only a text's ids come together again, so one giant text does not hold a task for long.
 
 Edge cases: null is the empty text; the empty text has no ids and decodes to the empty text; repeated rows
@@ -55,7 +56,11 @@ def tokenizer(path: str):
 
 @lru_cache(maxsize=4)
 def ranked(path: str):
-    """The vocabulary as tiktoken's ranks, or None unless it is plain byte-level BPE with merges in the order of ids."""
+    """The vocabulary as tiktoken's ranks, or None unless it is plain byte-level BPE with merges in the order of ids.
+
+    tiktoken joins any neighbours whose text is an entry. That is what the merge list does only if the list makes
+    every entry from its own text, which is tried for each of them.
+    """
     import json
 
     with open(path, encoding="utf-8") as f:
@@ -74,6 +79,9 @@ def ranked(path: str):
     merged = [vocabulary.get("".join(m if isinstance(m, list) else m.split(" ")), -1) for m in model["merges"]]
     if -1 in merged or merged != sorted(merged) or sorted(vocabulary.values()) != list(range(len(vocabulary))):
         return None
+    encode = tokenizer(path).model.tokenize
+    if any(len(encode(name)) != 1 for name in vocabulary):
+        return None
     ranks = {bytes(byte_of[c] for c in name): i for name, i in vocabulary.items()}
     return tiktoken.Encoding("ranked", pat_str=PRE_TOKENS.pattern, mergeable_ranks=ranks, special_tokens={})
 
