@@ -6,13 +6,15 @@ family; inside it one SVM per pair of languages votes, ties by the sum of margin
 family's share of the softmax over family margins times the winner's mean logistic margin.
 
 Training uses a bounded sample: for every language the ``per_language`` labelled rows (and at most
-``languages`` languages) whose hashed id is smallest, and of these only the feature vectors leave the
-executors, so what the driver holds is bounded by ``per_language * languages * dims`` numbers. The
-prediction itself is a map over all rows and needs no shuffle.
+``languages`` languages, ``SAMPLE`` rows in all) whose hashed id and text are smallest, and of these only the
+feature vectors leave the executors, so what the driver holds is bounded by ``SAMPLE * dims`` numbers (262 MB
+as they are sent, twice that as they are used). The prediction itself is a map over all rows and needs no shuffle.
 
 Edge cases: null text or a text without a letter gives ``und`` with score 0; without any labelled row every
 text is ``und``; with one language every text with a letter is that one; rows with null labels never train;
-repeated rows are predicted each; an empty table gives an empty result; extra columns are ignored.
+a row with a null id is not held out and never trains; repeated rows are predicted each and train once; a
+tie of families goes to the first by name, a tie of languages to the larger sum of margins and then the first by
+name; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ from .common import small_batches
 DIMS = 4_096
 PER_LANGUAGE = 500
 LANGUAGES = 256
+SAMPLE = 32_000
 EPOCHS = 12
 REGULARISE = 1e-4
 UNKNOWN = "und"
@@ -167,15 +170,16 @@ class Model:
 
 
 def is_held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, languages: int = LANGUAGES, dims: int = DIMS) -> Model:
     """Train on the bounded sample of ``labelled`` (every row of it may train)."""
-    rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(text_col).cast("string").alias("text")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string")).alias("h"), F.col(text_col).cast("string").alias("text")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}"))
     names = [(r[0], r[1]) for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
     if not names:
         return Model(np.zeros((0, dims), np.float32), [], dims)
+    per_language = max(1, min(per_language, SAMPLE // len(names)))
     # a hash range per language that about per_language rows fall into; repeats of a row count once
     within = F.lit(False)
     for name, count in names:
@@ -219,5 +223,5 @@ def predict(documents: DataFrame, model: Model, text_col: str = "text") -> DataF
 def identify(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Fit on the rows that are not held out, predict all: the rows with held_out, lang_pred and score."""
     small_batches(documents.sparkSession)
-    model = fit(documents.filter(~is_held_out(F.col(id_col))), id_col, text_col, lang_col)
+    model = fit(documents.filter(F.col(id_col).isNotNull() & ~is_held_out(F.col(id_col))), id_col, text_col, lang_col)
     return predict(documents.withColumn("held_out", is_held_out(F.col(id_col))), model, text_col)
