@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -28,8 +29,10 @@ def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a local one only where it names none."""
+    """The folder the cluster names in spark.checkpoint.dir; on a local master that names none, a local one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not folder:
         folder = tempfile.mkdtemp(prefix="seedplane-")
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -46,9 +49,23 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
+    """Like written(), in buckets by a column: what is grouped or joined by it later leaves these rows where they lie."""
+    spark = df.sparkSession
+    name = f"{label}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, key).option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out._seedplane_path, out._seedplane_table = path, name
+    return out
+
+
 def dropped(df: DataFrame | None) -> None:
     """Delete what written() wrote, once nothing reads it any more."""
-    path = getattr(df, "_seedplane_path", None)
+    path, name = getattr(df, "_seedplane_path", None), getattr(df, "_seedplane_table", None)
+    if name:
+        df.sparkSession.sql(f"drop table if exists {name}")
     if path:
         spark = df.sparkSession
         where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -4,7 +4,8 @@ Documents are laid in blocks of bounded size. Every block's distinct n-grams of
 counts, go to the hash partition that owns them; each partition adds up its part of the count table over
 the whole corpus and answers every block with the totals of the n-grams it asked for; blocks and answers
 meet again, and every document's words are scored and summed. A frequent n-gram is one entry per block,
-not a row per occurrence, so no key is hot, and the volume is that of distinct n-grams per block.
+not a row per occurrence, so no key is hot, and the volume is that of distinct n-grams per block. The blocks are
+written once, in buckets, so that only the answers are shuffled to meet them.
 
 The model that scores a document is the corpus without the document itself: its own counts are taken off
 the totals, else every n-gram would be known. With c the remaining counts and N the remaining words,
@@ -13,13 +14,14 @@ word shorter; at the end of the chain S(w) = c(w) / N if c(w) > 0, else ``BACKOF
 words of a text have the histories they have. N-grams are told apart by 64-bit hashes: the
 leading bits name the partition, the others are shipped whole.
 
-Edge cases: null, empty and white-space texts have no words and a score of 0 with a null mean; repeated
-rows are documents each (and predict each other); an empty table gives an empty result; extra columns are
-ignored.
+Edge cases: null, empty and white-space texts have no words and a score of 0 with a null mean; a text shorter
+than an n-gram has none of that order; repeated rows are documents each (and predict each other); an empty
+table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import struct
 import uuid
 from collections.abc import Iterator
 
@@ -29,12 +31,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import bucketed, dropped, small_batches, written
 from .words import ngrams, words_of
 
 ORDER = 3
 BACKOFF = 0.4
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -47,6 +49,32 @@ def _unpack(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u8").ravel()
 
 
+def _pack_rising(x: np.ndarray) -> bytes:
+    """Rising numbers as their steps: the bits that vary evenly as they are, the few above them compressed."""
+    steps = np.diff(x.astype("<u8"), prepend=np.uint64(0))
+    bits = max(0, int(steps.astype(float).mean()).bit_length() - 1) if len(x) else 0
+    whole, rest = divmod(bits, 8)
+    planes = steps.view(np.uint8).reshape(-1, 8)
+    odd = ((steps >> np.uint64(8 * whole)) & np.uint64((1 << rest) - 1)).astype(np.uint8)
+    odd = np.packbits(np.unpackbits(odd[:, None], axis=1)[:, 8 - rest :])
+    return struct.pack("<BI", bits, len(x)) + planes[:, :whole].tobytes() + odd.tobytes() + _pack(steps >> np.uint64(bits))
+
+
+def _unpack_rising(blob: bytes) -> np.ndarray:
+    bits, n = struct.unpack_from("<BI", blob)
+    whole, rest = divmod(bits, 8)
+    at, end = 5 + n * whole, 5 + n * whole + (n * rest + 7) // 8
+    steps = _unpack(blob[end:]) << np.uint64(bits)
+    planes = np.zeros((n, 8), np.uint8)
+    planes[:, :whole] = np.frombuffer(blob, np.uint8, n * whole, 5).reshape(n, whole)
+    steps |= planes.view("<u8").ravel()
+    if rest:
+        odd = np.zeros((n, 8), np.uint8)
+        odd[:, 8 - rest :] = np.unpackbits(np.frombuffer(blob, np.uint8, end - at, at))[: n * rest].reshape(n, rest)
+        steps |= np.packbits(odd, axis=1).ravel().astype(np.uint64) << np.uint64(8 * whole)
+    return np.cumsum(steps, dtype=np.uint64)
+
+
 def _blocks(documents: DataFrame, id_col: str, text_col: str, block_bytes: int) -> DataFrame:
     """block, n_words, blob: documents (id, text) as a compressed Arrow stream."""
     rows = documents.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -61,7 +89,7 @@ def _blocks(documents: DataFrame, id_col: str, text_col: str, block_bytes: int)
             with pa.ipc.new_stream(sink, table.schema) as w:
                 w.write_table(table)
             n = sum(len(h) for h in words_of(table["text"].to_pylist()))
-            return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([n], pa.int64()), pa.array([zstandard.ZstdCompressor(level=3).compress(sink.getvalue())], pa.binary())], names=["block", "n_words", "blob"])
+            return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([n], pa.int64()), pa.array([zstandard.ZstdCompressor(level=6).compress(sink.getvalue())], pa.binary())], names=["block", "n_words", "blob"])
 
         for batch in batches:
             lengths = np.cumsum(np.asarray(pa.compute.binary_length(batch.column(1)), np.int64))
@@ -126,7 +154,7 @@ def score_block(docs: list[np.ndarray], known: list[tuple[np.ndarray, np.ndarray
 def scores(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, backoff: float = BACKOFF, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, log_score (sum of ln S), mean_log_score of every row."""
     small_batches(documents.sparkSession)
-    blocks = written(_blocks(documents, id_col, text_col, block_bytes), "lm-blocks")
+    blocks = bucketed(_blocks(documents, id_col, text_col, block_bytes), "block", "lm_blocks")
     n_blocks, total = blocks.agg(F.count("*"), F.coalesce(F.sum("n_words"), F.lit(0))).first()
     buckets = 64
     while buckets < n_blocks and buckets < 1 << 20:
@@ -143,12 +171,12 @@ def scores(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     ends = np.searchsorted(u >> shift, np.arange(buckets + 1, dtype=np.uint64))
                     rows = [i for i in range(buckets) if ends[i + 1] > ends[i]]
                     low = u & ((np.uint64(1) << shift) - np.uint64(1))
-                    keys = [_pack(np.diff(low[ends[i] : ends[i + 1]], prepend=np.uint64(0))) for i in rows]
+                    keys = [_pack_rising(low[ends[i] : ends[i + 1]]) for i in rows]
                     times = [_pack(c[ends[i] : ends[i + 1]]) for i in rows]
-                    yield pa.RecordBatch.from_arrays([pa.array([block] * len(rows)), pa.array([k] * len(rows), pa.int32()), pa.array(rows, pa.int32()), pa.array(keys, pa.binary()), pa.array(times, pa.binary())], names=["block", "k", "bucket", "grams", "times"])
+                    yield pa.RecordBatch.from_arrays([pa.array([block] * len(rows), pa.string()), pa.array([k] * len(rows), pa.int32()), pa.array(rows, pa.int32()), pa.array(keys, pa.binary()), pa.array(times, pa.binary())], names=["block", "k", "bucket", "grams", "times"])
 
     def answer(table: pa.Table) -> pa.Table:
-        asked = [np.cumsum(_unpack(b), dtype=np.uint64) for b in table["grams"].to_pylist()]
+        asked = [_unpack_rising(b) for b in table["grams"].to_pylist()]
         times = np.concatenate([_unpack(b) for b in table["times"].to_pylist()])
         _, inverse = np.unique(np.concatenate(asked), return_inverse=True)
         totals = np.bincount(inverse, weights=times.astype(np.float64)).astype(np.uint64)[inverse]
@@ -176,7 +204,8 @@ def scores(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     asked = blocks.select("block", "blob").mapInArrow(ask, "block string, k int, bucket int, grams binary, times binary")
     answers = asked.groupBy("bucket", "k").applyInArrow(answer, "block string, k int, bucket int, totals binary")
-    found = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, "doc_id long, n_words long, log_score double")
+    found = written(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, "doc_id long, n_words long, log_score double"), "lm-scores")
+    dropped(blocks)
     return found.withColumn("mean_log_score", F.col("log_score") / F.nullif(F.col("n_words"), F.lit(0)))
 
 
