@@ -54,6 +54,22 @@ def test_bpe_long_unsplit_and_dealt_texts(spark):
     assert bpe.with_digests(bpe.encoded(texts_frame(spark, []), path), path).count() == 0
 
 
+def test_bpe_uses_tiktoken_only_where_it_merges_alike(tmp_path):
+    from tokenizers import Tokenizer, decoders, models, pre_tokenizers
+
+    def file(name, merges):
+        letters = sorted({c for pair in merges for c in "".join(pair)})
+        vocabulary = {c: i for i, c in enumerate([*letters, *dict.fromkeys(a + b for a, b in merges)])}
+        t = Tokenizer(models.BPE(vocabulary, merges))
+        t.pre_tokenizer, t.decoder = pre_tokenizers.ByteLevel(add_prefix_space=False), decoders.ByteLevel()
+        t.save(path := str(tmp_path / name))
+        return path, t
+
+    path, t = file("unreachable.json", [("b", "c"), ("x", "y"), ("xy", "b"), ("xyb", "c")])  # xybc is never made from its own text
+    assert bpe.ranked(path) is None
+    assert bpe.encode_batch(path, ["xybc xyb"]) == [t.encode("xybc xyb").ids]
+
+
 def test_bpe_repeated_long_rows_of_other_partitions_and_batches(spark):
     path = vocabulary()
     one = texts_frame(spark, ["the cat and the hat " * 500]).coalesce(1)
@@ -104,6 +120,22 @@ def test_lm_scores_equal_brute_force(spark):
     assert lm_score.scores(texts_frame(spark, [])).count() == 0
 
 
+def test_lm_texts_shorter_than_an_ngram_alone_in_a_partition(spark):
+    texts = ["a b c d", "x", "y z", "", None]
+    df = texts_frame(spark, texts).repartitionByRange(5, "doc_id").withColumns({c: F.lit(1) for c in ("id", "block", "k", "bucket", "n_words", "log_score")})
+    got = {r.doc_id: (r.n_words, r.log_score) for r in lm_score.scores(df).collect()}
+    assert {i: n for i, (n, _) in got.items()} == {0: 4, 1: 1, 2: 2, 3: 0, 4: 0}
+    assert got[1][1] == pytest.approx(np.log(0.4 / 7)) and got[3][1] == got[4][1] == 0
+
+
+def test_lm_packed_numbers_come_back():
+    chance = np.random.default_rng(2)
+    for n in (0, 1, 2, 9, 1000):
+        for top in (1, 2, 300, 2**17, 2**58, 2**64):
+            x = np.sort(chance.integers(0, top, n, dtype=np.uint64))
+            assert (lm_score._unpack_rising(lm_score._pack_rising(x)) == x).all()
+
+
 def test_lm_tells_words_apart_that_share_their_leading_hash_bits(spark):
     texts = ["w3906113 a b", "w594863 b a", "w594863 c d", "w3042786 d c", "w3573259 e a", "w195174 f b", "w4843729 g c"]  # pairs that share 42 bits
     _, want = brute_lm(texts)
@@ -196,8 +228,8 @@ def test_top_k_equals_brute_force(spark):
     chance = np.random.default_rng(3)
     x = chance.normal(size=(400, 6)).round(1)
     x[50:120] = x[50]
-    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(1000, None), (1020, [None] * 6), (1040, [float("nan")] * 6), (1060, [float("inf")] * 6), (1080, []), (1100, [1.0, 2.0]), (1101, [1.0, 3.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(1000, None), (1020, [None] * 6), (1040, [float("nan")] * 6), (1060, [float("inf")] * 6), (1080, []), (1100, [1.0, 2.0]), (1101, [1.0, 3.0]), (None, [9.0] * 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit(1) for c in ("id", "rank", "score", "b", "qb", "floor")})
     got = topk.top_k(df, F.col("id") % 20 == 0, query_block=7, block=60).collect()
     q = np.floor(64 * x).astype(int)
     want = set()
@@ -212,8 +244,26 @@ def test_top_k_equals_brute_force(spark):
 def test_threshold_stops_early_and_large_values_stay_exact():
     c = np.zeros((5000, 3))
     c[:, 0] = np.arange(5000)
-    at, ids, scores = topk.threshold_top_k(np.array([-1]), np.array([[1.0, 0, 0]]), np.arange(5000), c, 5)
+    at, ids, scores, made = topk.threshold_top_k(np.array([-1]), np.array([[1.0, 0, 0]]), np.arange(5000), c, 5)
+    assert made < 200
     assert sorted(zip(scores.tolist(), ids.tolist(), strict=True), reverse=True) == [(4999 - i, 4999 - i) for i in range(5)]
+    # components that fall off: a part of the products, all of the results; a floor from elsewhere leaves still less
+    chance = np.random.default_rng(5)
+    skewed = np.floor(64 * chance.normal(size=(4000, 16)) * 0.4 ** np.arange(16))
+    q = skewed[:40]
+    at, ids, scores, made = topk.threshold_top_k(np.arange(40), q, np.arange(4000), skewed, 20)
+    want = q @ skewed.T
+    want[np.arange(40), np.arange(40)] = -np.inf
+    for i in range(40):
+        assert sorted(scores[at == i].tolist()) == sorted(np.sort(want[i])[-20:].astype(int).tolist())
+    assert made < 0.5 * want.size
+    floor = np.sort(want, axis=1)[:, -20]
+    again = topk.threshold_top_k(np.arange(40), q, np.arange(4000), skewed, 20, floor=floor)
+    assert again[3] <= made and len(again[2]) >= 800 and all(again[2] >= floor[again[0]])
+    weak = np.floor(skewed * 0.3)  # a block that holds nothing better
+    _, _, scores, rest = topk.threshold_top_k(np.arange(40), q, np.arange(4000, 8000), weak, 20, floor=floor)
+    assert rest < 0.5 * topk.threshold_top_k(np.arange(40), q, np.arange(4000, 8000), weak, 20)[3]
+    assert len(scores) == int((q @ weak.T >= floor[:, None]).sum())
     big = np.array([[2.0**40, 3.0]])
     assert topk._dot(big, big)[0, 0] == 2**63 - 1
     assert topk._dot(np.array([[2.0**30, 1.0]]), np.array([[2.0**30, 1.0]]))[0, 0] == 2**60 + 1
@@ -278,6 +328,18 @@ def test_language_id(spark):
     assert langid.identify(df.limit(0)).count() == 0
 
 
+def test_language_id_null_and_repeated_ids_and_ties(spark):
+    words = {"en": "the house and the tree were there", "de": "das Haus und der Baum waren dort"}
+    rows = [(i if i % 5 else None, t, lang) for i in range(40) for lang, t in words.items()] + [(7, words["en"], "en")] * 3 + [(7, words["de"], "de"), (8, "123", "en"), (9, None, "de")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({c: F.lit(1) for c in ("h", "v", "score", "held_out")})
+    a, b = ([(r.doc_id, r.text, r.held_out, r.lang_pred, r.score) for r in langid.identify(d).select("doc_id", "text", "held_out", "lang_pred", "score").collect()] for d in (df, df.repartition(7)))
+    assert Counter(a) == Counter(b) and len(a) == len(rows)  # the same model in whatever order the rows come
+    assert all(h is False for i, _, h, _, _ in a if i is None)
+    assert {(t, p) for _, t, _, p, _ in a} == {(words["en"], "en"), (words["de"], "de"), ("123", "und"), (None, "und")}
+    only_null = df.filter("doc_id is null")
+    assert {r.lang_pred for r in langid.identify(only_null).collect()} == {"und"}
+
+
 # 9
 def test_url_rules_and_edge_cases(spark):
     urls = ["http://A.Example.COM/en/7?x", "https://b.example.com/en/81#top", "http://x.net/de/1", "http://q.example.net/de/8/9", "http://org/es/", "http://fr.org/es", None, "no scheme", "x://", "http://x.net", "http://x.net", "http://h.test/" + "a" * 5000]
@@ -386,12 +448,47 @@ def test_jaccard_links_between_clusters_of_revisions(spark):
     assert [got[i] for i in range(len(texts))] == want
 
 
+@pytest.mark.parametrize("seed", [1])
+def test_jaccard_near_copies_of_drafts_and_a_common_line(spark, seed):
+    chance = random.Random(seed)
+    word = lambda: f"w{chance.randrange(100_000)}"
+    draft = [word() for _ in range(90)]
+    other = list(draft)
+    for at in chance.sample(range(90), 5):
+        other[at] = word()
+
+    def copy(of, edits):
+        t = list(of)
+        for at in chance.sample(range(len(t)), edits):
+            if chance.random() < 0.3:
+                t[at] = ""
+            else:
+                t[at] = word() + (" " + word() if chance.random() < 0.2 else "")
+        return " ".join(t)
+
+    texts = [copy(chance.choice([draft, other]), chance.randrange(0, 7)) for _ in range(260)]
+    texts += [copy(t.split(), chance.randrange(1, 4)) for t in chance.sample(texts, 60)]  # near copies of near copies
+    line = " ".join(word() for _ in range(12))
+    texts += [line + " " + " ".join(word() for _ in range(chance.randrange(0, 9))) for _ in range(400)] + [line] * 30
+    chance.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({c: F.lit("x") for c in ("rep", "n", "fp", "group", "cluster", "token")})
+    got = {r.doc_id: r.component_id for r in jaccard.groups(df).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_groups(texts, 4, 85)[1]
+
+
+def test_jaccard_one_id_with_different_texts(spark):
+    chance = random.Random(4)
+    a, b = (" ".join(f"w{chance.randrange(9999)}" for _ in range(60)) for _ in range(2))
+    rows = [(5, a), (5, b), (8, b + " end"), (9, a), (9, None)]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(5, 57, 5), (5, 57, 5), (8, 58, 5), (9, 0, 9), (9, 57, 5)]
+
+
 def test_all_pairs_adds_up_a_pairs_matches_over_tokens_of_both_majors(spark):
     # classes 2 and 4 share two tokens: group 1 has the most classes of one, group 3 of the other
     rows = [(t, rep, group) for t, reps in ((10, (1, 2, 4)), (11, (3, 4, 2))) for rep in reps for group in [1 if rep < 3 else 3]]
-    grouped = spark.createDataFrame([(t, 0, 1, rep, 20, 2, t - 10, t - 10, g) for t, rep, g in rows], "token long, part int, parts int, rep long, n int, l int, pos int, shared int, group long")
-    pairs, _ = jaccard._all_pairs(grouped, 85)
-    assert {(2, 4)} <= {(r.a, r.b) for r in pairs.collect()}
+    placed = spark.createDataFrame([(t, 0, 1, rep, 20, 2, t - 10, t - 10, g, rep) for t, rep, g in rows], "token long, part int, parts int, rep long, n int, l int, pos int, shared int, group long, cluster long")
+    assert {(2, 4)} <= {(r.a, r.b) for r in jaccard._pairs_across(placed, 85).collect()}
 
 
 def test_jaccard_repeated_and_null_ids(spark):
