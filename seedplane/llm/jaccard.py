@@ -8,15 +8,16 @@ similarity reaches the threshold share at least l shingles of their l-prefixes,
 the l whose longer prefix has the smallest estimated cost, and a pair needs as many shared prefix shingles
 as the smaller of its two l before its whole sets are compared.
 
-Groups need not try all pairs. In each of ``ROUNDS`` rounds, every class is compared with the leader (the
-class with the fewest rarer shingles before a shared one) it shares most prefix shingles with; what links is merged. After
-that, prefix lists whose classes are all in one group are done, and in the others all pairs of classes from
-different groups are tried, so no link between groups is missed, while a group of thousands of near copies
-costs a comparison each. Frequent shingles' lists are split by salt.
+Groups need not try all pairs. Every class is compared whole with one leader (of the classes that have the
+fewest prefix shingles of their own, the one it shares most with); what links is merged. Two
+followers of one leader are then told apart by what they differ from it in: near copies differ from their
+draft in few shingles, most of them rare, so only pairs that share enough of those are compared. Classes of
+different leaders and groups meet in the prefix lists. No link between groups is missed, while a group of
+thousands of near copies costs a comparison each, linked or not. Frequent shingles' lists are split by salt.
 
 Edge cases: null, empty and white-space texts have the empty set and link with nothing; fewer words than a
-shingle count as one shingle; rows with a null id have no links; repeated rows are one class; an empty
-table gives an empty result; extra columns are ignored.
+shingle count as one shingle; rows with a null id have no links; repeated rows are one class; rows of one id
+with different texts are documents each; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,7 +43,13 @@ PART = 64
 MOST_MATCHES = 16
 VERIFY_COST = 8.0
 RARE_PARTNERS = 0.02
-ROUNDS = 1
+#: Pairs of one class, and entries of one list, that a task takes at once.
+HUB = 4096
+LIST = 512
+#: So many open followers of a leader are held against each other by size alone first.
+CLOSE = 64
+#: Rows of pairs (of a few numbers each) that go to all tasks at most.
+TOLD = 1 << 17
 FILTER_BITS = 1 << 26
 
 
@@ -162,12 +169,12 @@ def _signatures(rows: DataFrame, words: int, percent: int, heavy) -> DataFrame:
 
 
 def _sets(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """rep, n, s (the whole set) of the classes in wanted (rep, fp).
+    """rep, n, s (the whole set) and any other columns of the classes in wanted (id, fp, rep, ...).
 
     Rows surely not wanted are left out before the shuffle by a bitmap of fixed size over hashed ids.
     """
     spot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-    marks = wanted.select(spot("rep").alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m")).toArrow()
+    marks = wanted.select(spot("id").alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m")).toArrow()
     bitmap = {b: m for b, m in zip(marks["b"].to_pylist(), marks["m"].to_pylist(), strict=True)}
     near = rows.select("id", "text", F.bitmap_bucket_number(spot("id")).alias("b"), F.bitmap_bit_position(spot("id")).alias("p"))
 
@@ -178,18 +185,36 @@ def _sets(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             for part, sets in _texts(batch, 1, words):
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([fingerprint(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
-                    names=["rep", "fp", "n", "s"],
+                    names=["id", "fp", "n", "s"],
                 )
 
-    found = near.mapInArrow(run, "rep long, fp binary, n long, s array<long>")
-    return found.join(wanted, ["rep", "fp"]).select("rep", "n", "s").dropDuplicates(["rep"])
+    found = near.mapInArrow(run, "id long, fp binary, n long, s array<long>")
+    return found.dropDuplicates(["id", "fp"]).join(wanted, ["id", "fp"]).drop("id", "fp")
+
+
+def _told(few: DataFrame) -> DataFrame:
+    """A narrow table for a join: to be told to all tasks if it has at most ``TOLD`` rows."""
+    return F.broadcast(few) if few.limit(TOLD + 1).count() <= TOLD else few
+
+
+def _dealt(pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) with a ``part`` and ``parts``: a b of many pairs is dealt over several tasks."""
+    often = pairs.groupBy("b").agg(F.ceil(F.count("*") / HUB).cast("int").alias("parts"))
+    return pairs.join(often, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
+
+
+def _facing(dealt: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b, part, parts, n_a, s_a) with the other set: n_b, s_b."""
+    hubs = _told(dealt.select("b", "parts").distinct())
+    of_b = sets.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("s").alias("s_b")).join(hubs, "b").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return dealt.join(of_b, ["b", "part"])
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the threshold."""
-    both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("s").alias("s_a")), "a").join(sets.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("s").alias("s_b")), "b")
     shared = F.size(F.array_intersect("s_a", "s_b")).cast("long")
-    return both.filter(100 * shared >= percent * (F.col("n_a") + F.col("n_b") - shared)).select("a", "b")
+    of_a = sets.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("s").alias("s_a"))
+    return _facing(_told(_dealt(pairs)).join(of_a, "a"), sets).filter(100 * shared >= percent * (F.col("n_a") + F.col("n_b") - shared)).select("a", "b")
 
 
 def _possible(percent: int) -> Column:
@@ -202,84 +227,137 @@ def _possible(percent: int) -> Column:
     return (100 + percent) * room >= percent * (F.col("n_a") + F.col("n_b"))
 
 
-def groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
+def groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links) of every row; see the module's text."""
     small_batches(documents.sparkSession)
     rows = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    heavy = frequent(rows, words)
-    signed = written(_signatures(rows, words, percent, heavy), "signatures")
+    signed = written(_signatures(rows, words, percent, frequent(rows, words)), "signatures")
     full = signed.filter("n > 0 and id is not null")
-    members = written(full.groupBy("fp").agg(F.min("id").alias("rep")), "members")
-    postings = written(_shared(full), "postings")
-    sets = labels = None
-    for turn in range(rounds + 1):
-        new, sets = _linked(postings, rows, members, sets, labels, words, percent, turn if turn < rounds else None)
-        edges = new.select("a", "b") if labels is None else new.select("a", "b").unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
-        last, labels = labels, components(edges)
-        dropped(last)
-        dropped(new)
+    classes = written(full.groupBy("fp").agg(F.min("id").alias("id")).withColumn("rep", F.monotonically_increasing_id()), "classes")
+    postings = written(_shared(full, classes, percent), "postings")
+
+    led = written(_dealt(_leader_pairs(postings, percent)), "led")
+    wanted = _ends(led).join(classes, "rep").join(led.withColumnRenamed("a", "rep"), "rep", "left")
+    sets = written(_sets(rows, wanted, words), "sets")
+    judged = written(_judged(sets, percent), "judged")
+    dropped(led)
+    labels = components(judged.filter("linked").select("a", "b"))
+
+    named = judged.select(F.col("a").alias("rep"), F.col("b").alias("cluster"))
+    placed = postings.join(named, "rep", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    placed = written(placed.withColumns({"cluster": F.coalesce("cluster", "rep"), "group": F.coalesce("label", "rep")}).drop("label"), "placed")
     dropped(postings)
-    dropped(sets)
-    named = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("label", "rep").alias("group"))
-    named = written(named, "groups")
+    within = _pairs_within(judged, labels, percent)
+    pairs = written(_pairs_across(placed, percent).unionByName(within), "pairs")
+    for table in (placed, judged, within):
+        dropped(table)
+    more = written(_sets(rows, _ends(pairs).join(sets.select("rep"), "rep", "left_anti").join(classes, "rep"), words), "sets")
+    links = written(_links(pairs, sets.select(*more.columns).unionByName(more), percent), "links")
+    merged = components(links.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
+
+    of_class = classes.join(merged.withColumnRenamed("node", "rep"), "rep", "left").select("fp", "id", F.coalesce("label", "rep").alias("group"))
+    first = of_class.groupBy("group").agg(F.min("id").alias("component_id"))
+    found = written(of_class.join(first, "group").select("fp", "component_id"), "groups")
+    for table in (sets, labels, pairs, more, links, merged, classes):
+        dropped(table)
     out = signed.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("fp")).alias("fp"))
-    return out.join(named, "fp", "left").select("doc_id", "n_shingles", F.coalesce("group", "doc_id").alias("component_id"))
+    return out.join(found, "fp", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
 
-def _shared(full: DataFrame) -> DataFrame:
-    """The classes' prefix entries (rep, n, l, pos, token, part, parts, shared), without shingles that only one class has in its prefix."""
-    classes = full.groupBy("fp").agg(F.min(F.struct("id", "n", "l", "prefix", "parts")).alias("c"))
-    listed = classes.select(F.col("c.id").alias("rep"), F.col("c.n").cast("int").alias("n"), "c.l", F.posexplode(F.arrays_zip("c.prefix", "c.parts")).alias("pos", "x")).select("rep", "n", "l", "pos", F.col("x.prefix").alias("token"), F.col("x.parts").alias("parts"))
+
+def _shared(full: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The classes' prefix entries (rep, n, l, pos, token, part, parts, shared, lone), without shingles that only one class has in its prefix.
+
+    ``shared`` of the class's entries lie before this one; ``lone`` shingles of its prefix are left out.
+    """
+    each = full.groupBy("fp").agg(F.min(F.struct("n", "l", "prefix", "parts")).alias("c")).join(classes.select("fp", "rep"), "fp")
+    listed = each.select("rep", F.col("c.n").cast("int").alias("n"), "c.l", F.posexplode(F.arrays_zip("c.prefix", "c.parts")).alias("pos", "x")).select("rep", "n", "l", "pos", F.col("x.prefix").alias("token"), F.col("x.parts").alias("parts"))
     salted = listed.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     counted = salted.withColumn("c", F.count("*").over(Window.partitionBy("token", "part")))
     kept = counted.filter("parts > 1 or c > 1").drop("c")
-    return kept.withColumn("shared", F.row_number().over(Window.partitionBy("rep").orderBy("pos")) - 1)
-
-
-def _linked(postings: DataFrame, rows: DataFrame, members: DataFrame, sets: DataFrame | None, labels: DataFrame | None, words: int, percent: int, turn: int | None) -> tuple[DataFrame, DataFrame]:
-    """Verified links (a, b) between classes that labels doesn't have in one group yet, and the sets read so far."""
-    if labels is None:
-        grouped = postings.withColumn("group", F.col("rep"))
-    else:
-        grouped = postings.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("group", F.coalesce("label", "rep")).drop("label")
-    grouped = written(grouped, "grouped")
-    if turn is not None:
-        pairs, live = _leader_pairs(grouped, percent, turn), None
-    else:
-        pairs, live = _all_pairs(grouped, percent)
-    pairs = written(pairs, "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    if sets is not None:
-        wanted = wanted.join(sets.select("rep"), "rep", "left_anti")
-    more = written(_sets(rows, wanted.join(members, "rep"), words), "sets")
-    sets = more if sets is None else sets.unionByName(more)
-    links = written(_links(pairs, sets, percent), "links")
-    for table in (pairs, grouped, live):
-        dropped(table)
-    return links, sets
+    of_class = Window.partitionBy("rep")
+    length = F.col("n") - F.ceil(percent * F.col("n") / 100) + F.col("l")
+    return kept.withColumns({"shared": F.row_number().over(of_class.orderBy("pos")) - 1, "lone": (length - F.count("*").over(of_class)).cast("int")})
+
+
+def _leader_pairs(postings: DataFrame, percent: int) -> DataFrame:
+    """Each class (a) with the leader (b) that it shares most prefix entries with, if those are half as many as a link needs."""
+    # one order of classes for all lists, so that a group has few leaders: those with the fewest shingles of their own
+    leaders = postings.groupBy("token").agg(F.min(F.struct("lone", "rep", "l")).alias("x"), F.max("parts").alias("parts"))
+    leaders = leaders.select("token", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("x.rep").alias("b"), F.col("x.l").alias("l_b"))
+    met = postings.select(F.col("rep").alias("a"), F.col("l").alias("l_a"), "token", "part").join(leaders, ["token", "part"]).filter("a <> b")
+    pairs = met.groupBy("a", "b").agg(F.count("*").alias("m"), F.min(F.least("l_a", "l_b")).alias("l")).filter("2 * m >= l")
+    return pairs.groupBy("a").agg(F.max_by("b", F.struct("m", "b")).alias("b"))
 
 
-def _leader_pairs(grouped: DataFrame, percent: int, turn: int) -> DataFrame:
-    """Each class with the leader that it shares most prefix entries with."""
-    rank = F.xxhash64("rep", F.lit(turn)) if turn else F.col("rep")
-    # the fewest rarer shingles before this one: the class most like the others that share it
-    leaders = grouped.groupBy("token").agg(F.min(F.struct("pos", rank.alias("rank"), "rep", "n", "l", "shared", "group")).alias("x"), F.max("parts").alias("parts"), F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high")
-    leaders = leaders.select("token", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("x.rep").alias("b"), F.col("x.n").alias("n_b"), F.col("x.l").alias("l_b"), F.col("x.pos").alias("pos_b"), F.col("x.shared").alias("shared_b"), F.col("x.group").alias("group_b"))
-    met = grouped.withColumnsRenamed({"rep": "a", "n": "n_a", "l": "l_a", "pos": "pos_a", "shared": "shared_a"}).join(leaders, ["token", "part"]).filter((F.col("group") != F.col("group_b")) & _possible(percent))
-    pairs = met.groupBy("a", "b").agg(F.count("*").alias("m"), F.min(F.least("l_a", "l_b")).alias("l")).filter("m >= l")
-    return pairs.groupBy("a").agg(F.max_by("b", F.struct("m", "b")).alias("b"))
+def _judged(sets: DataFrame, percent: int) -> DataFrame:
+    """a, b, n, n_b, d (what a and its leader differ in), k (its size), excess, linked.
+
+    Two sets of n and m shingles that differ in k are linked when (100 + percent) k <= (100 - percent) (n + m);
+    ``excess`` is a's part of the difference of both sides, (100 + percent) k - (100 - percent) n.
+    """
+    d = F.concat(F.array_except("s_a", "s_b"), F.array_except("s_b", "s_a"))
+    led = sets.filter("b is not null").withColumnsRenamed({"rep": "a", "n": "n_a", "s": "s_a"})
+    rows = _facing(led, sets).select("a", "b", F.col("n_a").alias("n"), "n_b", d.alias("d")).withColumn("k", F.size("d").cast("long"))
+    excess = (100 + percent) * F.col("k") - (100 - percent) * F.col("n")
+    return rows.withColumn("excess", excess).withColumn("linked", F.col("excess") <= (100 - percent) * F.col("n_b"))
+
 
+def _pairs_across(placed: DataFrame, percent: int) -> DataFrame:
+    """All pairs of classes of different groups and clusters that share enough prefix entries.
 
-def _all_pairs(grouped: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """All pairs of classes of different groups that share enough prefix entries."""
-    sizes = grouped.groupBy("token", "group").agg(F.count("*").alias("c"), F.max("parts").alias("parts"))
-    majors = sizes.groupBy("token").agg(F.max_by("group", F.struct("c", "group")).alias("major"), F.count("*").alias("kinds"), F.max("parts").alias("parts")).filter("kinds > 1")
-    majors = majors.select("token", "major", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    live = written(grouped.join(majors, ["token", "part"]).select("token", "rep", "n", "l", "pos", "shared", "group", (F.col("group") != F.col("major")).alias("minor")), "live")
-    few = live.filter("minor").select("token", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("l").alias("l_a"), F.col("pos").alias("pos_a"), F.col("shared").alias("shared_a"), F.col("group").alias("group_a"))
-    all_ = live.select("token", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("l").alias("l_b"), F.col("pos").alias("pos_b"), F.col("shared").alias("shared_b"), F.col("group").alias("group_b"), "minor")
-    on = (F.col("group_a") != F.col("group_b")) & (~F.col("minor") | (F.col("a") < F.col("b"))) & _possible(percent)
-    met = few.join(all_, "token").filter(on)
+    Two followers of one leader, and a follower with its leader, are left to _pairs_within and _judged.
+    """
+    largest = lambda c: placed.groupBy("token", c).agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", c)).alias(c), F.count("*").alias("kinds"), F.sum("c").alias("size")).filter("kinds > 1").drop("kinds")
+    tops = largest("group").join(largest("cluster").drop("size"), "token")
+    tops = tops.select("token", F.when(F.col("group.c") >= F.col("cluster.c"), F.col("group.group")).alias("top_group"), F.col("cluster.cluster").alias("top_cluster"), F.ceil(F.col("size") / LIST).cast("int").alias("parts"))
+    live = placed.drop("parts", "part").join(tops, "token").withColumn("minor", F.coalesce(F.col("group") != F.col("top_group"), F.col("cluster") != F.col("top_cluster")))
+    side = lambda s: live.select("token", F.col("rep").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("n", "l", "pos", "shared", "group", "cluster", "minor")], "parts")
+    few = side("a").filter("minor_a").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts", "minor_a")
+    every = side("b").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).drop("parts")
+    apart = (F.col("group_a") != F.col("group_b")) & (F.col("cluster_a") != F.col("cluster_b")) & (F.col("cluster_a") != F.col("b")) & (F.col("cluster_b") != F.col("a"))
+    met = few.join(every, ["token", "part"]).filter(apart & (~F.col("minor_b") | (F.col("a") < F.col("b"))) & _possible(percent))
     # which of a pair is the minor one differs from token to token
-    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "l_a", "l_b")
-    return met.groupBy("a", "b").agg(F.count("*").alias("m"), F.min(F.least("l_a", "l_b")).alias("l")).filter("m >= l").select("a", "b"), live
+    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("l_a", "l_b").alias("l"))
+    return met.groupBy("a", "b").agg(F.count("*").alias("m"), F.min("l").alias("l")).filter("m >= l").select("a", "b")
+
+
+def _pairs_within(judged: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs of followers of one leader, of different groups, that what they differ from the leader in allows to be linked.
+
+    With excess e and difference d, followers x and y are linked when 2 (100 + percent) |d_x & d_y| >= e_x + e_y. One
+    of them is not linked with the leader, and no follower's excess is below the leader's own, so either knows how
+    much of its difference must be common at least, and only that much less of it, rarest first, is looked up.
+    """
+    step, rest = 2 * (100 + percent), 100 - percent
+    rows = judged.withColumns({"own": rest * F.col("n_b"), "top": F.col("excess") + 2 * rest * F.col("n")})
+    clusters = rows.groupBy("b").agg(F.min(F.when(~F.col("linked"), F.col("excess"))).alias("low"), F.max(F.when(F.col("linked"), F.col("top"))).alias("high"), F.count_if(~F.col("linked")).alias("open")).filter("open > 0 and (open > 1 or low <= high)")
+    # a pair's excesses and tops overlap, as at most all of the smaller difference is common
+    near = rows.drop("d").join(clusters, "b")
+    alone = near.filter(F.col("open").between(2, CLOSE) & ~F.col("linked")).select("a", "b", "n", "excess", "top")
+    others = alone.select("b", *[F.col(c).alias(f"{c}_") for c in ("a", "n", "excess", "top")])
+    fit = (F.col("a") != F.col("a_")) & (F.col("excess") <= F.col("top_")) & (F.col("excess_") <= F.col("top")) & (100 * F.least("n", "n_") >= percent * F.greatest("n", "n_"))
+    paired = alone.join(others, "b").filter(fit).select("a").distinct().withColumn("paired", F.lit(True))
+    open_ = F.coalesce(F.col("excess") <= F.col("high"), F.lit(False)) | (F.col("open") > CLOSE) | F.coalesce("paired", F.lit(False))
+    live = near.join(paired, "a", "left").filter(F.when(F.col("linked"), F.col("top") >= F.col("low")).otherwise(open_))
+    live = live.join(labels.withColumnRenamed("node", "a"), "a", "left").select("a", "b", F.coalesce("label", "a").alias("group"), "k", "excess", "own", "linked")
+    live = written(live, "live")
+    each = live.join(judged.select("a", "d"), "a").withColumn("token", F.explode("d")).drop("d")
+    # what only one follower differs in is rarest and can't be common: it is counted and left out
+    often = each.groupBy("b", "token").agg(F.count("*").alias("c")).filter("c > 1")
+    of_one = Window.partitionBy("a")
+    placed = each.join(often, ["b", "token"]).withColumn("pos", F.col("k") - F.count("*").over(of_one) + F.row_number().over(of_one.orderBy("c", "token")) - 1).drop("c")
+    needed = lambda e: F.greatest(F.lit(1), F.ceil(e / step))
+    placed = written(placed.filter(F.col("pos") <= F.col("k") - F.least(needed(F.col("excess") - F.col("own")), needed(F.col("excess") + F.col("own") + 1))), "differences")
+    side = lambda s, e: placed.filter(F.col("pos") <= F.col("k") - needed(e)).select(F.col("b").alias("leader"), "token", F.col("a").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("group", "k", "excess", "pos", "linked")])
+    asking = side("a", F.col("excess") - F.col("own")).filter("not linked_a")
+    room = F.least("pos_a", "pos_b") + F.least(F.col("k_a") - F.col("pos_a"), F.col("k_b") - F.col("pos_b"))
+    fits = (F.col("group_a") != F.col("group_b")) & (F.col("linked_b") | (F.col("a") < F.col("b"))) & (step * room >= F.col("excess_a") + F.col("excess_b"))
+    met = asking.join(side("b", F.col("excess") + F.col("own") + 1), ["leader", "token"]).filter(fits)
+    found = written(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "within")
+    dropped(live)
+    dropped(placed)
+    return found
