@@ -1,7 +1,8 @@
 """PII surrogates, with DataFrame functions only.
 
 One pattern finds the entities of a text: e-mail addresses, IPv4 addresses, phone numbers, card and account
-numbers, IBANs, social security numbers, secrets, and names behind a title. Each distinct entity (by type
+numbers, IBANs, social security numbers, IPv6 addresses, secrets, and names behind a title (then also the whole
+name and the family name alone wherever else they stand in that text; of two of one family the one that sorts last). Each distinct entity (by type
 and canonical form, so spelling variants corefer) gets one surrogate, derived from a keyed SHA-256 digest:
 digits for digits, letters of the same case and script for letters, separators kept; addresses stay
 addresses (IPs in the private 10.0.0.0/8 range, e-mails at reserved example domains), card numbers keep
@@ -49,15 +50,16 @@ PATTERNS = {
     "EMAIL": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
     "SECRET": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|(?:sk|pk|ghp|gho)[-_][A-Za-z0-9]{20,128})(?![A-Za-z0-9])",
     "IBAN": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "PHONE": r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9A-Za-z+])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9])",
+    "PHONE": r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9A-Za-z+])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9])|(?<![0-9A-Za-z+./-])0[1-9][0-9]{1,3}[ /-][0-9]{5,8}(?![0-9A-Za-z./-])",
     "SSN": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "IP": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?![0-9]|\.[0-9])",
+    "IP6": r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,5})(?![0-9A-Za-z:])",
     "CARD": r"(?<![0-9A-Za-z.+-])(?:[0-9]{13,19}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}|(?!(?:19|20)[0-9]{2}[ -](?:19|20)[0-9]{2})[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,4}(?:[ -][0-9]{1,3})?)(?![0-9A-Za-z])",
     "NAME": rf"(?<![\p{{L}}\p{{N}}])(?:{_title})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What every text with an entity has somewhere; far cheaper to look for than the entities.
-HINT = rf"[0-9@]|(?:AKIA|sk|pk|ghp|gho)[-_A-Z0-9]|(?=[{''.join(sorted({t[0] for ts in TITLES.values() for t in ts.split()}))}])(?:{_title})\.? \p{{Lu}}"
+HINT = rf"[0-9@]|[A-Fa-f]:|(?:AKIA|sk|pk|ghp|gho)[-_A-Z0-9]|(?=[{''.join(sorted({t[0] for ts in TITLES.values() for t in ts.split()}))}])(?:{_title})\.? \p{{Lu}}"
 
 
 def type_of(value: Column) -> Column:
@@ -71,7 +73,7 @@ def type_of(value: Column) -> Column:
 def canonical(kind: Column, value: Column) -> Column:
     digits = F.regexp_replace(value, "[^0-9]", "")
     return (
-        F.when(kind == "EMAIL", F.lower(value)).when(kind.isin("PHONE", "SSN", "CARD"), digits).when(kind == "IBAN", F.regexp_replace(value, " ", ""))
+        F.when(kind.isin("EMAIL", "IP6"), F.lower(value)).when(kind.isin("PHONE", "SSN", "CARD"), digits).when(kind == "IBAN", F.regexp_replace(value, " ", ""))
         .when(kind == "NAME", F.regexp_replace(F.regexp_replace(value, rf"^(?:{_title})\.? ", ""), " +", " ")).otherwise(value)
     )
 
@@ -139,7 +141,7 @@ def _name(value: Column, gender: Column, digest: Column, more: int) -> Column:
 
 def shape_of(kind: Column, value: Column, d: Column) -> Column:
     """The value (of an e-mail address the part before the @) with every character replaced by one of its kind."""
-    return _shaped(F.when(kind == "EMAIL", F.substring_index(value, "@", 1)).otherwise(value), d, (kind == "SECRET") & value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"))
+    return _shaped(F.when(kind == "EMAIL", F.substring_index(value, "@", 1)).otherwise(value), d, ((kind == "SECRET") & value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")) | (kind == "IP6"))
 
 
 def surrogate(kind: Column, value: Column, gender: Column, d: Column, shaped: Column, attempt: int) -> Column:
@@ -209,11 +211,21 @@ def pseudonymised(documents: DataFrame, key: str, text_col: str = "text") -> Dat
     touched = written(marked.filter("__has").drop("__has").withColumns({"__row": F.monotonically_increasing_id(), "__found": F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1))}), "entity-texts")
     each = touched.select("__row", F.posexplode("__found").alias("at", "original"))
     each = each.withColumn("kind", type_of(F.col("original"))).withColumn("value", canonical(F.col("kind"), F.col("original"))).withColumn("gender", F.when(F.col("kind") == "NAME", gender_of(F.col("original"))))
-    each = written(each, "entity-rows")
-    made = surrogate_map(each.select("kind", "value", "gender"), key)
-    replaced = each.join(made, ["kind", "value"]).select("__row", "at", _restored(F.col("kind"), F.col("original"), F.col("made")).alias("new"))
-    lists = replaced.groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("at", "new"))).alias("__new"))  # bounded by a text's own entities
+    # a bare run of digits is a card number only if its check digit is right
+    no_card = (F.col("kind") == "CARD") & ~F.col("original").rlike("[ -]") & (_luhn(F.col("value")) != 0)
+    each = written(each.withColumn("kind", F.when(~no_card, F.col("kind"))), "entity-rows")
+    made = surrogate_map(each.filter("kind is not null").select("kind", "value", "gender"), key)
+    replaced = each.join(made, ["kind", "value"], "left").withColumn("new", F.coalesce(_restored(F.col("kind"), F.col("original"), F.col("made")), F.col("original")))
+    # what a name that was found once is called elsewhere in its text: the whole name, the family name alone
+    name, family = (F.when(F.col("kind") == "NAME", x) for x in (F.struct("value", "made"), F.struct(F.substring_index("value", " ", -1).alias("value"), F.substring_index("made", " ", -1).alias("made"))))
+    replaced = replaced.select("__row", "at", "new", F.filter(F.array(name, family), lambda x: x.isNotNull() & (F.length(x["value"]) > 2)).alias("called"))
+    lists = replaced.groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("at", "new", "called"))).alias("__new"))  # bounded by a text's own entities
+    mentions = F.flatten(F.transform("__new", lambda x: x["called"]))
+    quoted = lambda v: F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), v, F.lit(r"\E(?![\p{L}\p{N}])"))
+    longest_first = F.reverse(F.array_sort(F.transform(F.array_distinct(mentions), lambda x: F.struct(F.length(x["value"]).alias("n"), x["value"].alias("value"), x["made"].alias("made")))))
+    named = lambda gap: F.aggregate(longest_first, gap, lambda a, x: F.regexp_replace(a, quoted(x["value"]), x["made"]))
     gaps = F.split(text, ANY, -1)
+    gaps = F.when(F.coalesce(F.size(mentions), F.lit(0)) > 0, F.transform(gaps, named)).otherwise(gaps)
     woven = F.array_join(F.flatten(F.zip_with(gaps, F.concat(F.coalesce(F.transform("__new", lambda x: x["new"]), F.array().cast("array<string>")), F.array(F.lit(""))), lambda gap, new: F.array(gap, F.coalesce(new, F.lit(""))))), "")
     done = touched.join(lists, "__row", "left").withColumn(text_col, woven).select(*[f"`{c}`" for c in columns])
     return marked.filter(~F.col("__has")).select(*[f"`{c}`" for c in columns]).unionByName(done)
