@@ -510,3 +510,38 @@ def test_prefix_filter_is_complete():
             la, pa, _ = jaccard.prefix(a, 85, none)
             lb, pb, _ = jaccard.prefix(b, 85, none)
             assert len(np.intersect1d(pa, pb)) >= min(la, lb)
+
+
+# 3
+def test_pii_names_without_their_title_and_other_forms(spark):
+    texts = [
+        "Mrs Anna Schmidt called. Later Anna Schmidt said yes; Schmidt left. Schmidtke stayed.",
+        "Call 0171-2345678 or 030 1234567, see 2001:db8::ff00:42:8329 at 10:30:15.",
+        "order 1234567890123 card 4111111111111111",
+    ]
+    got = {r.doc_id: r.text for r in pii.pseudonymised(texts_frame(spark, texts), "key").collect()}
+    m = re.fullmatch(r"Mrs (\w+) (\w+) called\. Later (\w+) (\w+) said yes; (\w+) left\. Schmidtke stayed\.", got[0])
+    assert m and m[1] == m[3] != "Anna" and m[2] == m[4] == m[5] != "Schmidt"
+    m = re.fullmatch(r"Call (0?\d{3,4}-\d{7}) or (\d{3} \d{7}), see ([0-9a-f]{4}:[a-z0-9]{3}::[0-9a-f]{4}:\d\d:\d{4}) at 10:30:15\.", got[1])
+    assert m and m[1] != "0171-2345678" and m[2] != "030 1234567" and m[3] != "2001:db8::ff00:42:8329"
+    assert got[2].startswith("order 1234567890123 card 4") and "4111111111111111" not in got[2]
+    # the distinct entities keep distinct surrogates, the same key the same ones
+    again = {r.doc_id: r.text for r in pii.pseudonymised(texts_frame(spark, texts).repartition(3), "key").collect()}
+    assert again == got
+
+
+# 7
+def test_decontamination_long_and_short_items_and_the_shuffled_path(spark):
+    chance = random.Random(7)
+    word = lambda: f"w{chance.randrange(10**6)}"
+    items = [" ".join(word() for _ in range(n)) for n in (65, 129, 300, 7, 4, 1)]
+    around = lambda t: " ".join([word() for _ in range(30)] + t.split() + [word() for _ in range(30)])
+    w = [t.split() for t in items]
+    docs = [around(" ".join(x)) for x in (w[0], w[1], w[2][40:210], w[3], w[4], w[5], w[0][-1:], w[1][50:90], w[2][118:150])] + [around("") for _ in range(5)]
+    asked = texts_frame(spark, docs).withColumns({c: F.lit(1) for c in ("w", "b", "k", "at", "h", "item_id", "seg", "share")})
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string").withColumns({c: F.lit(1) for c in ("doc_id", "words", "step")})
+    want = {(0, 0), (1, 1), (2, 2), (3, 3), (4, 4), (7, 1), (8, 2)}
+    for seeds in (decontaminate.BROADCAST_SEEDS, 3):
+        got = decontaminate.overlaps(asked, bench, broadcast_seeds=seeds).collect()
+        assert {(r.doc_id, r.item_id) for r in got} == want
+        assert {r.share for r in got if r.doc_id in (0, 1, 3, 4)} == {1.0}
