@@ -62,7 +62,7 @@ def fingerprint(hashes: np.ndarray) -> bytes:
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
-def _texts(batch: pa.RecordBatch, column: int, words: int, size: int = 256) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+def _texts(batch: pa.RecordBatch, column: int, words: int, size: int = 64) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for start in range(0, batch.num_rows, size):
         part = batch.slice(start, size)
         yield part, shingles_of(part.column(column).to_pylist(), words)
@@ -100,7 +100,7 @@ def frequent(rows: DataFrame, words: int, least: int = LEAST, kept: int = KEPT)
             for _, sets in _texts(batch, 0, words):
                 held += sets
                 size += sum(map(len, sets))
-                if size > 1_000_000:
+                if size > 500_000:
                     yield flush()
                     held, size = [], 0
         if size:
@@ -229,7 +229,7 @@ def _possible(percent: int) -> Column:
 
 def groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links) of every row; see the module's text."""
-    small_batches(documents.sparkSession)
+    small_batches(documents.sparkSession, 256)
     rows = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = written(_signatures(rows, words, percent, frequent(rows, words)), "signatures")
     full = signed.filter("n > 0 and id is not null")
