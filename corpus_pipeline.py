@@ -65,7 +65,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("tokens", tokens),
 ]
 
-#: The first stage's classifier is trained, which SQL can't say; tests hold run() against brute force.
+#: The first stage's classifier is trained, which SQL can't say; tests count what each stage keeps.
 ORACLE_SQL: str | None = None
 
 
