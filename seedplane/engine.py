@@ -113,7 +113,7 @@ class Engine:
             made = made.select("__row", "__attempt", *[F.expr(masked.get(c, f"`{c}`")).alias(c) for c, sql in out.items() if sql is not None])
         for column in table.columns:
             if column.generated:
-                made = made.withColumn(column.name, F.concat_ws(" ", "first_name", "last_name"))
+                made = made.withColumn(column.name, F.expr(column.generated))
         return made
 
     def _masked(self, plan: planner.ColumnPlan, column, sql: str, table: str) -> str:

@@ -47,7 +47,7 @@ class Column:
     scale: int | None = None
     labels: tuple[str, ...] = ()
     element: str | None = None
-    generated: str | None = None
+    generated: str | None = None  # the expression, as SQL over the row's other columns
     data_class: str = "UNKNOWN"
 
     @property

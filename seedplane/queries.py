@@ -447,7 +447,7 @@ def safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", control.slug(F.col("url"), "-", 40, "dataset").alias("name"), control.file_name(F.col("url")).alias("file_name"))
 
 
-_read_back = "select o_orderkey, o_custkey, o_totalprice from orders order by o_orderkey limit 100"
+_read_back = "select o_orderkey, o_custkey, o_totalprice from orders order by o_orderkey limit 100000"
 both("export_read_back", ["orders"], lambda d: _read_back)
 
 

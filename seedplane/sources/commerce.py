@@ -65,7 +65,7 @@ def parse(text: str, schema: str, enums: dict[str, str] = ENUMS) -> Schema:
         columns = tuple(
             Column(
                 m[1], m[3], nullable=not m[7], length=int(m[4]) if m[4] and m[3] != "numeric" else None, precision=int(m[4]) if m[4] and m[3] == "numeric" else None, scale=int(m[5]) if m[5] else None,
-                labels=tuple(enums[m[3]].split()) if m[2] else (), element=m[3] if m[6] else None, generated="concat" if m[9] else None, data_class=classify(m[1], m[3], bool(m[2]), m[1] in key, m[1] in foreign),
+                labels=tuple(enums[m[3]].split()) if m[2] else (), element=m[3] if m[6] else None, generated="concat_ws(' ', first_name, last_name)" if m[9] else None, data_class=classify(m[1], m[3], bool(m[2]), m[1] in key, m[1] in foreign),
             )
             for m in rows
         )
