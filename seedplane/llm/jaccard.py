@@ -8,8 +8,9 @@ similarity reaches the threshold share at least l shingles of their l-prefixes,
 the l whose longer prefix has the smallest estimated cost, and a pair needs as many shared prefix shingles
 as the smaller of its two l before its whole sets are compared.
 
-Groups need not try all pairs. Every class is compared whole with one leader (of the classes that have the
-fewest prefix shingles of their own, the one it shares most with); what links is merged. Two
+Groups need not try all pairs. A class that shares enough of its prefix is compared whole with one leader (of
+the classes that have the fewest prefix shingles of their own, the one it shares most with); what links is
+merged, and what differs in more than ``FAR`` of both sets has no leader. Two
 followers of one leader are then told apart by what they differ from it in: near copies differ from their
 draft in few shingles, most of them rare, so only pairs that share enough of those are compared. Classes of
 different leaders and groups meet in the prefix lists. No link between groups is missed, while a group of
@@ -50,6 +51,10 @@ LIST = 512
 CLOSE = 64
 #: Rows of pairs (of a few numbers each) that go to all tasks at most.
 TOLD = 1 << 17
+#: A follower shares at least one in so many of its prefix entries with its leader, and differs from it in at most
+#: this part of both sets; who does not has no leader and is met in the prefix lists.
+SHARING = 8
+FAR = 0.3
 FILTER_BITS = 1 << 26
 
 
@@ -284,17 +289,18 @@ def _shared(full: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 
 def _leader_pairs(postings: DataFrame, percent: int) -> DataFrame:
-    """Each class (a) with the leader (b) that it shares most prefix entries with, if those are half as many as a link needs."""
+    """Each class (a) with the leader (b) that it shares most prefix entries with, if those are half as many as a link needs and one in ``SHARING`` of its prefix."""
+    length = F.col("n") - F.ceil(percent * F.col("n") / 100) + F.col("l")
     # one order of classes for all lists, so that a group has few leaders: those with the fewest shingles of their own
     leaders = postings.groupBy("token").agg(F.min(F.struct("lone", "rep", "l")).alias("x"), F.max("parts").alias("parts"))
     leaders = leaders.select("token", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("x.rep").alias("b"), F.col("x.l").alias("l_b"))
-    met = postings.select(F.col("rep").alias("a"), F.col("l").alias("l_a"), "token", "part").join(leaders, ["token", "part"]).filter("a <> b")
-    pairs = met.groupBy("a", "b").agg(F.count("*").alias("m"), F.min(F.least("l_a", "l_b")).alias("l")).filter("2 * m >= l")
+    met = postings.select(F.col("rep").alias("a"), F.col("l").alias("l_a"), length.alias("length"), "token", "part").join(leaders, ["token", "part"]).filter("a <> b")
+    pairs = met.groupBy("a", "b").agg(F.count("*").alias("m"), F.min(F.least("l_a", "l_b")).alias("l"), F.max("length").alias("length")).filter(f"2 * m >= l and {SHARING} * m >= length")
     return pairs.groupBy("a").agg(F.max_by("b", F.struct("m", "b")).alias("b"))
 
 
 def _judged(sets: DataFrame, percent: int) -> DataFrame:
-    """a, b, n, n_b, d (what a and its leader differ in), k (its size), excess, linked.
+    """a, b, n, n_b, d (what a and its leader differ in), k (its size), excess, linked; of near ones, linked or not.
 
     Two sets of n and m shingles that differ in k are linked when (100 + percent) k <= (100 - percent) (n + m);
     ``excess`` is a's part of the difference of both sides, (100 + percent) k - (100 - percent) n.
@@ -303,7 +309,8 @@ def _judged(sets: DataFrame, percent: int) -> DataFrame:
     led = sets.filter("b is not null").withColumnsRenamed({"rep": "a", "n": "n_a", "s": "s_a"})
     rows = _facing(led, sets).select("a", "b", F.col("n_a").alias("n"), "n_b", d.alias("d")).withColumn("k", F.size("d").cast("long"))
     excess = (100 + percent) * F.col("k") - (100 - percent) * F.col("n")
-    return rows.withColumn("excess", excess).withColumn("linked", F.col("excess") <= (100 - percent) * F.col("n_b"))
+    judged = rows.withColumn("excess", excess).withColumn("linked", F.col("excess") <= (100 - percent) * F.col("n_b"))
+    return judged.filter(F.col("linked") | (F.col("k") <= FAR * (F.col("n") + F.col("n_b"))))
 
 
 def _pairs_across(placed: DataFrame, percent: int) -> DataFrame:
