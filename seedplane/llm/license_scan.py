@@ -5,7 +5,9 @@ the smallest of every window is kept (winnowing), so any run of ``K + WINDOW - 1
 shares with a template contains a kept one. A document looks all of its fingerprints up in the index; hits
 of one template that lie within a template's length of each other form a candidate region, which is
 aligned with the whole template in a band around the hits' diagonals (match 2, mismatch and gap -1). What
-covers at least ``COVERAGE`` of the template's words is reported with its span.
+covers at least ``COVERAGE`` of the template's words is reported with its span, if each of the template's
+phrases (version and variant words, which the tolerance must not forgive) stands in the span word for word.
+A region that lacks too many of the template's words in any order is not aligned.
 
 Templates are a parameter of at most ``MAX_TEMPLATE_WORDS`` words in all, so the index is small and goes to
 every task; the scan is a map over documents without a shuffle, linear in the text apart from the aligned
@@ -36,20 +38,35 @@ BAND = 8
 COVERAGE = 0.7
 MAX_TEMPLATE_WORDS = 100_000
 
-#: Public license notices, by SPDX identifier.
-TEMPLATES = [
-    ("MIT", "Released under the MIT License."),
+#: Public license notices and texts by SPDX identifier, or by family where no version is named, with
+#: the phrases that tell them from their relatives.
+TEMPLATES: list[tuple] = [
+    ("MIT", "Released under the MIT License.", ["mit"]),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("LGPL-3.0", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("Apache", "Licensed under the Apache License", ["apache"]),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0.", ["apache", "version 2.0"]),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at", ["apache", "version 2.0"]),
+    ("GPL", "licensed under the GNU General Public License", ["gnu general public"]),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2.", ["gnu general public", "version 2"]),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", ["gnu general public", "version 2"]),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3.", ["gnu general public", "version 3"]),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", ["gnu general public", "version 3"]),
+    ("LGPL", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License", ["gnu lesser general public"]),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", ["gnu lesser general public", "version 2.1"]),
+    ("LGPL-3.0", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.", ["gnu lesser general public", "version 3"]),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", ["gnu affero general public", "version 3"]),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", ["mozilla", "v. 2.0"]),
+    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", ["neither the name", "endorse or promote"]),
+    ("CC", "Licensed under CC BY", ["cc by"]),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0.", ["cc by 4.0"]),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0.", ["cc by-sa 4.0"]),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0.", ["cc by-nc 4.0"]),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0.", ["cc by-nd 4.0"]),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0.", ["cc by-nc-sa 4.0"]),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0.", ["cc by-nc-nd 4.0"]),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
 ]
 
@@ -83,10 +100,11 @@ def winnowed(fingerprints: np.ndarray, window: int = WINDOW) -> np.ndarray:
 class Index:
     """kept fingerprint -> (template, position) and the templates' words."""
 
-    def __init__(self, templates: list[tuple[str, str]], k: int = K, window: int = WINDOW):
+    def __init__(self, templates: list[tuple], k: int = K, window: int = WINDOW):
         self.k = k
-        self.names = [name for name, _ in templates]
-        self.words = [located(text)[2] for _, text in templates]
+        self.names = [x[0] for x in templates]
+        self.words = [located(x[1])[2] for x in templates]
+        self.phrases = [[located(phrase)[2] for phrase in (x[2] if len(x) > 2 else [])] for x in templates]
         if sum(map(len, self.words)) > MAX_TEMPLATE_WORDS:
             raise ValueError(f"more than {MAX_TEMPLATE_WORDS} template words")
         if any(len(w) < k for w in self.words):
@@ -143,6 +161,12 @@ def align(template: np.ndarray, words: np.ndarray, low: int, high: int) -> tuple
     return best[1:]
 
 
+def stands_in(phrase: np.ndarray, words: np.ndarray) -> bool:
+    if len(words) < len(phrase):
+        return False
+    return bool((np.lib.stride_tricks.sliding_window_view(words, len(phrase)) == phrase).all(axis=1).any())
+
+
 def scan_text(index: Index, text: str | None, coverage: float = COVERAGE) -> list[tuple[str, int, float, int, int]]:
     """(license, matched words, coverage, start, end in characters) of each template found, in order."""
     data, starts, words = located(text or "")
@@ -157,8 +181,11 @@ def scan_text(index: Index, text: str | None, coverage: float = COVERAGE) -> lis
         if taken.get(t, min(diagonals)) < min(diagonals):  # the band must not reach back to the place before
             low = max(low, taken[t] + 1)
         taken[t] = max(diagonals)
-        matched, first, last = align(template, words, low, max(diagonals) + BAND)
-        if matched >= coverage * len(template):
+        high = max(diagonals) + BAND
+        if np.isin(template, words[max(0, low) : max(0, high + len(template))]).sum() < coverage * len(template):
+            continue
+        matched, first, last = align(template, words, low, high)
+        if matched >= coverage * len(template) and all(stands_in(phrase, words[first : last + 1]) for phrase in index.phrases[t]):
             end = data.find(b" ", int(starts[last]))
             end = len(data) if end < 0 else end
             a = len(data[: starts[first]].decode("utf-8", "replace"))
@@ -170,8 +197,11 @@ def scan_text(index: Index, text: str | None, coverage: float = COVERAGE) -> lis
     return [x[:5] for x in sorted(kept, key=lambda x: (x[3], x[5], x[4]))]
 
 
-def scan(documents: DataFrame, templates: list[tuple[str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text", coverage: float = COVERAGE) -> DataFrame:
-    """doc_id, license, matched_words, coverage, span_start, span_end of every template found in every row."""
+def scan(documents: DataFrame, templates: list[tuple] | None = None, id_col: str = "doc_id", text_col: str = "text", coverage: float = COVERAGE) -> DataFrame:
+    """doc_id, license, matched_words, coverage, span_start, span_end of every template found in every row.
+
+    A template is (name, text) or (name, text, phrases that must stand in the span).
+    """
     small_batches(documents.sparkSession)
     index = Index(templates or TEMPLATES)
     rows = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))

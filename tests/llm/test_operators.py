@@ -217,6 +217,40 @@ def test_license_scan(spark):
     assert license_scan.scan(texts_frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", ["GPL-2.0"]),
+        ("This work is licensed under the GNU General Public License, version 1.", ["GPL"]),
+        ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or any later version.", ["LGPL-2.1"]),
+        ("Licensed under the Apache License, Version 1.1.", ["Apache"]),
+        ("Licensed under CC BY 3.0.", ["CC"]),
+        ("Licensed under CC BY-SA 4.0. And: licensed under CC BY-ND 4.0.", ["CC-BY-SA-4.0", "CC-BY-ND-4.0"]),
+        ("Copyright me. " + next(x[1] for x in license_scan.TEMPLATES if x[0] == "BSD-2-Clause") + " THIS SOFTWARE IS PROVIDED AS IS", ["BSD-2-Clause"]),
+        ("Copyright me. " + next(x[1] for x in license_scan.TEMPLATES if x[0] == "BSD-3-Clause") + " THIS SOFTWARE IS PROVIDED AS IS", ["BSD-3-Clause"]),
+        ("the license of the software is under the terms of a public work in source and binary forms", []),
+    ],
+)
+def test_license_versions_and_variants(text, want):
+    index = license_scan.Index(license_scan.TEMPLATES)
+    assert [x[0] for x in license_scan.scan_text(index, text)] == want
+
+
+def test_license_alignment_equals_brute_force():
+    chance = random.Random(8)
+    for _ in range(200):
+        a, b = ([chance.randrange(5) for _ in range(chance.randrange(1, 14))] for _ in range(2))
+        best, grid = (0, 0), [[(0, 0)] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                (s, m), up, left = grid[i][j], grid[i][j + 1], grid[i + 1][j]
+                grid[i + 1][j + 1] = max((s + 2, m + 1) if x == y else (s - 1, m), (up[0] - 1, up[1]), (left[0] - 1, left[1]), (0, 0))
+                if grid[i + 1][j + 1][0] <= 0:
+                    grid[i + 1][j + 1] = (0, 0)
+                best = max(best, grid[i + 1][j + 1])
+        assert license_scan.align(np.array(a), np.array(b), -len(a), len(b))[0] == best[1]
+
+
 def test_winnowing_keeps_one_of_every_window():
     x = np.random.default_rng(1).integers(0, 50, 500).astype(np.uint64)
     kept = set(license_scan.winnowed(x, 4).tolist())
