@@ -21,6 +21,7 @@ from seedplane.operators import control, keys, verify
 from seedplane.plans import classify, planner
 from seedplane.plans.checks import bounds
 from seedplane.plans.graph import Graph, closure
+from seedplane.sources import introspect
 from seedplane.sources.commerce import TEST_EDGES, TEST_TABLES, commerce
 from seedplane.sources.export import csv_line
 
@@ -199,6 +200,46 @@ def _columns_of(spark: SparkSession, sf_dir: str) -> list[tuple[str, int, str, s
     return [(t, i, name, TYPES.get(kind, kind)) for t in TEST_TABLES for i, (name, kind) in enumerate(table(spark, sf_dir, t).dtypes, 1)]
 
 
+# the catalog rows of the commerce schema, a row a listed column
+_CONSTRAINTS = [
+    (t.name, name, kind, i, c, parent, pc)
+    for t in commerce().tables.values()
+    for name, kind, columns, parent, parents in [(f"{t.name}_pkey", "p", t.key, None, ())] + [(f"{t.name}_{'_'.join(u)}_key", "u", u, None, ()) for u in t.uniques] + [(fk.name, "f", fk.columns, fk.parent, fk.parent_columns) for fk in t.fks]
+    for i, (c, pc) in enumerate(zip(columns, parents or [None] * len(columns)), 1)
+]
+#: Every constraint's columns, and of every other unique constraint an index of a name of its own, or a partial one.
+_INDEXES = [(t, name if n % 2 else f"{name}_ix", i, c, kind != "f", kind == "p", "true" if n % 6 == 0 else None) for n, (t, name, kind, i, c, _, _) in enumerate(_CONSTRAINTS)]
+
+
+def _values(rows: list[tuple], names: str) -> str:
+    cell = lambda x: "null" if x is None else str(x).lower() if isinstance(x, (bool, int)) else text(x)
+    return f"(values {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) as v({names})"
+
+
+def _catalog(spark: SparkSession) -> DataFrame:
+    rows = spark.createDataFrame(_CONSTRAINTS, "table_name string, name string, kind string, ordinal int, column_name string, parent string, parent_column string")
+    return rows.withColumn("expression", F.lit(None).cast("string"))
+
+
+_NAMES = "table_name, name, kind, ordinal, column_name, parent, parent_column"
+
+
+@register("introspect_constraints", f"select table_name, name, kind, parent, string_agg(column_name, ',' order by ordinal) as listed, coalesce(string_agg(parent_column, ',' order by ordinal), '') as referred from {_values(_CONSTRAINTS, _NAMES)} group by all")
+def introspect_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = introspect.constraints_of(_catalog(spark))
+    return found.select("table_name", "name", "kind", "parent", F.array_join("columns", ",").alias("listed"), F.array_join("parent_columns", ",").alias("referred"))
+
+
+@register(
+    "introspect_unique_indexes",
+    f"select table_name, name, string_agg(column_name, ',' order by ordinal) as listed from {_values(_INDEXES, 'table_name, name, ordinal, column_name, is_unique, is_primary, predicate')} where is_unique and not is_primary and predicate is null "
+    f"and not exists (select 1 from (select table_name as t, name as n from {_values(_CONSTRAINTS, _NAMES)}) as c where c.t = v.table_name and c.n = v.name) group by all",
+)
+def introspect_unique_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    indexes = spark.createDataFrame(_INDEXES, "table_name string, name string, ordinal int, column_name string, is_unique boolean, is_primary boolean, predicate string")
+    return introspect.unique_indexes(indexes, _catalog(spark)).select("table_name", "name", F.array_join("columns", ",").alias("listed"))
+
+
 @register("meta_columns", f"select table_name, cast(ordinal_position as bigint) as position, column_name, {_duck_type} as type from information_schema.columns where {_in_tables}")
 def meta_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(_columns_of(spark, sf_dir), "table_name string, position long, column_name string, type string")
