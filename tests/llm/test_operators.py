@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seedplane.llm import bpe, decontaminate, html_extract, jaccard, langid, license_scan, lm_score, pii, topk, url_filter
+from seedplane.llm import bpe, components, decontaminate, html_extract, jaccard, langid, license_scan, lm_score, pii, topk, url_filter
 from seedplane.llm.queries import vocabulary
 
 LONG = "lorem " * 30_000
@@ -579,3 +579,36 @@ def test_decontamination_long_and_short_items_and_the_shuffled_path(spark):
         got = decontaminate.overlaps(asked, bench, broadcast_seeds=seeds).collect()
         assert {(r.doc_id, r.item_id) for r in got} == want
         assert {r.share for r in got if r.doc_id in (0, 1, 3, 4)} == {1.0}
+
+
+# links
+def _links_of(seed):
+    chance = random.Random(seed)
+    chain = [(i, i + 1) for i in range(900, 960)]
+    star = [(500, i) for i in range(501, 540)]
+    return [(b, a) if chance.random() < 0.5 else (a, b) for a, b in chain + star + [(7, 7), (-3, 8), (2**40, 8), (8, -3)] + [(chance.randrange(300), chance.randrange(300)) for _ in range(120)]]
+
+
+def _smallest(links):
+    label = {x: x for link in links for x in link}
+    for _ in label:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    return label
+
+
+@pytest.mark.parametrize("few", [0, 1 << 17])
+def test_components_of_few_and_many_links(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW", few)
+    links = _links_of(few)
+    got = components.components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert len(got) == len({r.node for r in got}) and {r.node: r.label for r in got} == _smallest(links)
+    assert components.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_components_of_few_links_take_no_rounds(spark):
+    links = spark.createDataFrame(_links_of(5), "a long, b long")
+    spark.sparkContext.setJobGroup("few links", "")
+    components.components(links)
+    spark.sparkContext.setJobGroup("others", "")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few links")) <= 4
