@@ -9,6 +9,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows that a reader unpacks at once; at Spark's 4,096 the texts or sets of one batch are many MB in one piece of heap.
+READ = 512
+#: Bytes of a row group, which a writing task holds on the heap, of what written() writes.
+ROW_GROUP = 16 << 20
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -22,10 +26,13 @@ def ascii_lower(column):
 
 
 def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
-    """Texts go to Python in batches of at most so many rows, so that a worker's memory stays small beside the heap."""
+    """Texts go to Python in batches of at most so many rows, so that a worker's memory stays small beside the heap; readers unpack ``READ`` at once."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= rows:
         spark.conf.set(name, rows)
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    if int(spark.conf.get(name)) > READ:
+        spark.conf.set(name, READ)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,7 +50,8 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write to the shared folder and read back, so a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # a marker would be two more processes (chmod) that the driver starts on a local file system; nothing looks for it
+    df.write.option("parquet.block.size", ROW_GROUP).option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._seedplane_path = path
     return out

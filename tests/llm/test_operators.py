@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seedplane.llm import bpe, components, decontaminate, html_extract, jaccard, langid, license_scan, lm_score, pii, topk, url_filter
+from seedplane.llm import bpe, common, components, decontaminate, html_extract, jaccard, langid, license_scan, lm_score, pii, topk, url_filter
 from seedplane.llm.queries import vocabulary
 
 LONG = "lorem " * 30_000
@@ -612,3 +612,32 @@ def test_components_of_few_links_take_no_rounds(spark):
     components.components(links)
     spark.sparkContext.setJobGroup("others", "")
     assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few links")) <= 4
+
+
+def test_readers_unpack_few_rows_at_once(spark):
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    try:
+        spark.conf.unset(name)
+        common.small_batches(spark)
+        assert int(spark.conf.get(name)) == common.READ
+        spark.conf.set(name, 100)
+        common.small_batches(spark)
+        assert spark.conf.get(name) == "100"
+    finally:
+        spark.conf.unset(name)
+
+
+def test_written_tables_come_in_small_row_groups_without_a_marker(spark, monkeypatch):
+    import os
+
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(common, "ROW_GROUP", 1 << 20)
+    rows = spark.range(0, 400_000, 1, 1).select("id", F.xxhash64("id").alias("h"))
+    table = common.written(rows, "test")
+    names = os.listdir(table._seedplane_path)
+    assert "_SUCCESS" not in names
+    (part,) = (n for n in names if n.endswith(".parquet"))
+    assert pq.ParquetFile(f"{table._seedplane_path}/{part}").metadata.num_row_groups > 1
+    assert table.count() == 400_000 and not table.exceptAll(rows).count()
+    common.dropped(table)
