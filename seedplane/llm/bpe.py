@@ -228,12 +228,38 @@ def packed(ids: list[int]) -> bytes:
     return np.asarray(ids, dtype="<u4").tobytes()
 
 
+def _as_ids(path: str, ids: pa.Array, blobs: list[bytes]) -> dict[str, pa.Array]:
+    return {"id": ids, "ids": pa.array(blobs, pa.binary())}
+
+
+def _as_digests(path: str, ids: pa.Array, blobs: list[bytes]) -> dict[str, pa.Array]:
+    n, a, b = [], [], []
+    for blob in blobs:
+        text = decode(path, np.frombuffer(blob, "<u4").tolist())
+        n.append(len(blob) // 4)
+        a.append(hashlib.sha256(blob).hexdigest())
+        b.append(hashlib.sha256(text.encode("utf-8", "replace")).hexdigest())
+    return {"doc_id": ids, "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(a, pa.string()), "decoded_sha256": pa.array(b, pa.string())}
+
+
+IDS, DIGESTS = "id {}, ids binary", "doc_id {}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+
+
 def encoded(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF, long_chars: int = LONG) -> DataFrame:
     """id and ``ids`` (little-endian unsigned 32-bit integers, as binary) of every row.
 
     Ids need not be unique: rows of long texts carry a mark of their own, the text's digest with the partition and
     how many equal rows came before in it, which is the same in whatever order a task that is run again sees them.
     """
+    return _encoded(documents, path, id_col, text_col, leaf, long_chars, _as_ids, IDS)
+
+
+def digested(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF, long_chars: int = LONG) -> DataFrame:
+    """with_digests() of encoded(), by the workers that encode: a second worker a task would hold the vocabulary again."""
+    return _encoded(documents, path, id_col, text_col, leaf, long_chars, _as_digests, DIGESTS)
+
+
+def _encoded(documents: DataFrame, path: str, id_col: str, text_col: str, leaf: int, long_chars: int, finish: Callable[[str, pa.Array, list[bytes]], dict[str, pa.Array]], columns: str) -> DataFrame:
     small_batches(documents.sparkSession)
     rows = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
@@ -246,7 +272,7 @@ def encoded(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                 parts = [list(leaves(path, t, leaf)) for t in part.column(1).to_pylist()]
                 ids = iter(encode_batch(path, [t for p in parts for t, _ in p]))
                 blobs = [packed(joined(path, [(c, next(ids)) for _, c in p])) for p in parts]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(blobs, pa.binary())], names=["id", "ids"])
+                yield pa.RecordBatch.from_pydict(finish(path, part.column(0), blobs))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -275,11 +301,11 @@ def encoded(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     def gather(table: pa.Table) -> pa.Table:
         table = table.sort_by("n")
         parts = [(c, np.frombuffer(b, "<u4").tolist()) for c, b in zip(table["continues"].to_pylist(), table["ids"].to_pylist(), strict=True)]
-        return pa.table({"id": table["id"].slice(0, 1), "ids": pa.array([packed(joined(path, parts))], pa.binary())})
+        return pa.table(finish(path, table["id"].slice(0, 1), [packed(joined(path, parts))]))
 
-    whole = short.mapInArrow(run, f"id {kind}, ids binary")
+    whole = short.mapInArrow(run, columns.format(kind))
     dealt = long.mapInArrow(deal, f"id {kind}, mark string, n int, continues boolean, text string").repartition("mark", "n")
-    apart = dealt.mapInArrow(encode_leaves, f"id {kind}, mark string, n int, continues boolean, ids binary").groupBy("id", "mark").applyInArrow(gather, f"id {kind}, ids binary")
+    apart = dealt.mapInArrow(encode_leaves, f"id {kind}, mark string, n int, continues boolean, ids binary").groupBy("id", "mark").applyInArrow(gather, columns.format(kind))
     return whole.unionByName(apart)
 
 
@@ -289,13 +315,6 @@ def with_digests(tokens: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            blobs = batch.column(1).to_pylist()
-            n, a, b = [], [], []
-            for blob in blobs:
-                text = decode(path, np.frombuffer(blob, "<u4").tolist())
-                n.append(len(blob) // 4)
-                a.append(hashlib.sha256(blob).hexdigest())
-                b.append(hashlib.sha256(text.encode("utf-8", "replace")).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return tokens.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+            yield pa.RecordBatch.from_pydict(_as_digests(path, batch.column(0), batch.column(1).to_pylist()))
+
+    return tokens.mapInArrow(run, DIGESTS.format(kind))

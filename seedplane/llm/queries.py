@@ -22,8 +22,7 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = vocabulary()
-    return bpe.with_digests(bpe.encoded(table(spark, sf_dir, "documents"), path), path)
+    return bpe.digested(table(spark, sf_dir, "documents"), vocabulary())
 
 
 def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -641,3 +641,15 @@ def test_written_tables_come_in_small_row_groups_without_a_marker(spark, monkeyp
     assert pq.ParquetFile(f"{table._seedplane_path}/{part}").metadata.num_row_groups > 1
     assert table.count() == 400_000 and not table.exceptAll(rows).count()
     common.dropped(table)
+
+
+def test_bpe_digests_of_one_pass_equal_those_of_two(spark):
+    path = vocabulary()
+    texts = ["", None, "two words", "a" * 3_000, "many words " * 900, "\u00e9\u4e2d " * 50, "two words"]
+    df = texts_frame(spark, texts).repartition(3)
+    once = bpe.digested(df, path, leaf=1000, long_chars=5_000)
+    twice = bpe.with_digests(bpe.encoded(df, path, leaf=1000, long_chars=5_000), path)
+    assert once.schema == twice.schema and once.count() == len(texts)
+    assert not once.exceptAll(twice).count() and not twice.exceptAll(once).count()
+    plan = bpe.digested(df, path)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 3  # run, deal, encode_leaves: no second one over them
